@@ -129,11 +129,11 @@ _FOUND_SQL = """
 with w as (
   select * from (select *, row_number() over (partition by project_key, snapshot_no order by delivered_at desc nulls last) rn from policy_snapshots where snapshot_no is not null) where rn = 1
 ), sec as (
-  select project_key, snapshot_no, 'score_deltas' section, list_transform(list_filter(score_deltas, lambda r: r is not null), lambda r: {{'k': coalesce(r.module, ''), 'v': concat(coalesce(round(r.baseline_score, 2)::varchar, '~'), '|', coalesce(round(r.current_score, 2)::varchar, '~'))}}) rs from w where score_deltas is not null
+  select project_key, snapshot_no, 'score_deltas' section, list_transform(list_filter(score_deltas, lambda r: r is not null), lambda r: {{'k': coalesce(r.module, ''), 'v': concat(coalesce((round(r.baseline_score, 2) + 0.0)::varchar, '~'), '|', coalesce((round(r.current_score, 2) + 0.0)::varchar, '~'))}}) rs from w where score_deltas is not null
   union all
-  select project_key, snapshot_no, 'evidence_deltas', list_transform(list_filter(evidence_deltas, lambda r: r is not null), lambda r: {{'k': concat(coalesce(r.metric, ''), '/', coalesce(r.benchmark, '')), 'v': concat(coalesce(round(r.baseline_value, 2)::varchar, '~'), '|', coalesce(round(r.current_value, 2)::varchar, '~'), '|', coalesce(r.status, '~'))}}) from w where evidence_deltas is not null
+  select project_key, snapshot_no, 'evidence_deltas', list_transform(list_filter(evidence_deltas, lambda r: r is not null), lambda r: {{'k': concat(coalesce(r.metric, ''), '/', coalesce(r.benchmark, '')), 'v': concat(coalesce((round(r.baseline_value, 2) + 0.0)::varchar, '~'), '|', coalesce((round(r.current_value, 2) + 0.0)::varchar, '~'), '|', coalesce(r.status, '~'))}}) from w where evidence_deltas is not null
   union all
-  select project_key, snapshot_no, 'regressions', list_transform(list_filter(regressions, lambda r: r is not null), lambda r: {{'k': concat(coalesce(r.metric, ''), '/', coalesce(r.subject, '')), 'v': coalesce(round(r.delta, 2)::varchar, '~')}}) from w where regressions is not null
+  select project_key, snapshot_no, 'regressions', list_transform(list_filter(regressions, lambda r: r is not null), lambda r: {{'k': concat(coalesce(r.metric, ''), '/', coalesce(r.subject, '')), 'v': coalesce((round(r.delta, 2) + 0.0)::varchar, '~')}}) from w where regressions is not null
 ), nav as (
   select project_key, section, snapshot_no, rs, lag(snapshot_no) over q prev_no, lead(snapshot_no) over q next_no from sec window q as (partition by project_key, section order by snapshot_no)
 ), rec as (
