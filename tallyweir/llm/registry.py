@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import tokens
+from . import packing, tokens
 
-_MODULES = [tokens]
+_MODULES = [tokens, packing]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
