@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, tokens
+from . import packing, quantiles, tokens
 
-_MODULES = [tokens, packing]
+_MODULES = [tokens, packing, quantiles]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: sql for module in _MODULES for name, sql in module.SQL.items()}
