@@ -285,7 +285,9 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("text").isNotNull()).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches([pa.RecordBatch.from_pylist([], schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("grade", pa.int32())])), *batches]).sort_by("doc_id")
+        if not (batches := [b for b in batches if b.num_rows]):
+            return
+        table = pa.Table.from_batches(batches).sort_by("doc_id")
         model = train(table.column("text").combine_chunks(), table.column("grade").to_numpy().astype(np.int64))
         used = np.flatnonzero(model.weights).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array([used.tobytes()]), pa.array([model.weights[used].tobytes()]), pa.array([model.thresholds.tobytes()])], names=["used", "weights", "thresholds"])
