@@ -38,7 +38,7 @@ CASE = 0.5
 
 # Letters that look like Latin ones, and digits and signs written for letters.
 LOOKALIKES = str.maketrans("авекмнорстухіјѕԁһԛԝɡαεικνορτυχ", "abekmhopctyxijsdhqwgaeikvoptux")
-LEET = str.maketrans("0134578@$!|+", "oleastbasilt")
+LEET = str.maketrans("0134578@$!|+", "oieastbasilt")
 #: Characters that aren't seen.
 _HIDDEN = "[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿]"
 # Single letters one after another: x x x, f-o-r-e-i-g-n.
