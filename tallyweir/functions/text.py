@@ -137,7 +137,7 @@ def last_segment(name: Column) -> Column:
 
 def anchor(line: Column) -> Column:
     """A line with white space collapsed, by which findings survive moves."""
-    return F.regexp_replace(F.trim(F.regexp_replace(line, r"\s+", " ")), r"^ | $", "")
+    return F.trim(F.regexp_replace(line, r"(?U)\s+", " "))
 
 
 def version_triple(version: Column) -> Column:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_token, raw_tokens
-from .windows import non_overlapping, token_windows
+from ..functions.text import KEYWORDS, TOKEN
+from .windows import non_overlapping
 
 WINDOW_TOKENS = 50
 LEAST_WINDOW_LINES = 3
@@ -19,12 +23,36 @@ LEAST_LINES = 5
 def file_windows(files: DataFrame, file: str, text: str, size: int = WINDOW_TOKENS, least_lines: int = LEAST_WINDOW_LINES) -> DataFrame:
     """file, at, window_hash, first_line, last_line of every window of normalised tokens over enough lines.
 
-    Each text makes its windows on its own; only 16-byte hashes leave the row.
+    A text is tokenised once; a window is a slice of the joined tokens, and only its
+    16-byte hash leaves the task. Null texts and texts of fewer tokens have none.
     """
-    lines = F.transform(F.split(text, "\n"), lambda line, i: F.transform(raw_tokens(line), lambda t: F.struct(normal_token(t).alias("t"), (i + 1).cast("bigint").alias("l"))))
-    both = files.filter(F.col(text).isNotNull()).select(F.col(file), F.flatten(lines).alias("_t"))
-    spread = both.select(file, F.explode(token_windows(F.col("_t.t"), F.col("_t.l"), size)).alias("w"))
-    return spread.select(file, F.col("w.at").cast("bigint").alias("at"), F.md5("w.window").alias("window_hash"), F.col("w.first_line").alias("first_line"), F.col("w.last_line").alias("last_line")).filter(F.col("last_line") - F.col("first_line") + 1 >= least_lines)
+    pattern, digits = re.compile(f"({TOKEN})|(\n)"), re.compile(r"[0-9]+")
+    keep = frozenset(KEYWORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, content in enumerate(batch.column(1).to_pylist()):
+                tokens, lines, line = [], [], 1
+                for token, end in pattern.findall(content or ""):
+                    if end:
+                        line += 1
+                        continue
+                    first = token[0]
+                    tokens.append(token if token in keep else "LIT" if digits.fullmatch(token) else "ID" if first.isalpha() or first == "_" else token)
+                    lines.append(line)
+                n = len(tokens) - size + 1
+                if n < 1:
+                    continue
+                joined = "|".join(tokens)
+                starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in tokens])]).tolist()
+                at = [k for k in range(n) if lines[k + size - 1] - lines[k] + 1 >= least_lines]
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64))), pa.array(at, pa.int64()),
+                    pa.array([hashlib.md5(joined[starts[k] : starts[k + size] - 1].encode(), usedforsecurity=False).hexdigest() for k in at], pa.string()),
+                    pa.array([lines[k] for k in at], pa.int64()), pa.array([lines[k + size - 1] for k in at], pa.int64()),
+                ], names=[file, "at", "window_hash", "first_line", "last_line"])
+
+    return files.select(file, text).mapInArrow(run, f"`{file}` {files.schema[file].dataType.simpleString()}, at bigint, window_hash string, first_line bigint, last_line bigint")
 
 
 def window_groups(windows: DataFrame, file: str) -> DataFrame:
