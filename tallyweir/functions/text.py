@@ -197,4 +197,4 @@ def finding_level(disposition: Column, severity: Column) -> Column:
 def compiler_rule(code: Column) -> Column:
     """Rule id of a compiler's diagnostic code; clippy lints have a namespace of their own."""
     lint = F.replace(F.lower(code), F.lit("_"), F.lit("-"))
-    return F.when(code.startswith("clippy::"), F.concat(F.lit("rust.clippy."), F.replace(lint, F.lit("clippy::"), F.lit("")))).when(code.isNotNull(), F.concat(F.lit("rust.compiler."), lint)).otherwise("rust.compiler.unknown")
+    return F.when(code.startswith("clippy::"), F.concat(F.lit("rust.clippy."), F.replace(lint, F.lit("clippy::"), F.lit("")))).when(code.isNotNull(), F.concat(F.lit("rust.compiler."), lint)).otherwise("rust.compiler.diagnostic")

@@ -43,7 +43,9 @@ def edge_provenance(edges: DataFrame, source: str) -> DataFrame:
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    table = pa.Table.from_batches(list(batches))
+    if not (batches := [b for b in batches if b.num_rows]):
+        return [], np.empty(0, np.int64), np.empty(0, np.int64)
+    table = pa.Table.from_batches(batches)
     names, at = np.unique(np.concatenate([table.column(c).to_numpy(zero_copy_only=False).astype(object) for c in ("src", "dst")]), return_inverse=True)
     return names.tolist(), at[: table.num_rows], at[table.num_rows :]
 
