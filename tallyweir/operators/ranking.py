@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANK_BLOCKS = 256
+PIECE_ROWS = 100_000
 
 
-def ranked(df: DataFrame, keys: list[str], score: str, tie: str, name: str = "position") -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], score: str, tie: str, name: str = "position", piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Zero-based position by (score falling, nulls last, tie rising) and n of each group.
 
-    Positions run within pieces of a group's score range and are offset by the pieces'
-    sizes, so a group with most of the rows is ranked by many tasks.
+    Positions of a group with more than ``piece_rows`` rows run within pieces of its score
+    range and are offset by the pieces' sizes, so such a group is ranked by many tasks.
     """
     k = F.struct(*(F.col(c) for c in keys)) if keys else F.struct(F.lit(1).alias("_"))
     rows = df.withColumn("_k", k)
-    marks = rows.groupBy("_k").agg(F.percentile_approx(F.col(score).cast("double"), F.array(*(F.lit(i / 32) for i in range(1, 32))), F.lit(400)).alias("_marks"))
+    marks = rows.groupBy("_k").agg(F.when(F.count("*") > piece_rows, F.percentile_approx(F.col(score).cast("double"), F.array(*(F.lit(i / 32) for i in range(1, 32))), F.lit(400))).otherwise(F.array().cast("array<double>")).alias("_marks"))
     cut = rows.join(marks, "_k").withColumn("_piece", F.when(F.col(score).isNull(), 99).otherwise(F.size(F.filter("_marks", lambda m: m > F.col(score)))))
     sums = cut.groupBy("_k", "_piece").agg(F.count("*").alias("_s"))
     sums = sums.select("_k", "_piece", (F.sum("_s").over(Window.partitionBy("_k").orderBy("_piece")) - F.col("_s")).alias("_base"), F.sum("_s").over(Window.partitionBy("_k")).alias("n"))

@@ -10,22 +10,24 @@ from pyspark.sql.window import Window
 
 from ..functions.numeric import percent, ratio, round2
 
-#: Pieces into which a group's value range is cut for ranking.
+#: Pieces into which the value range of a group of more distinct values is cut for ranking.
 CUTS = 64
+PIECE_ROWS = 100_000
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str], cuts: int = CUTS) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str], cuts: int = CUTS, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Ceiling-rank percentiles, sorted[ceil((n-1)q)], of each group; also n_values.
 
-    Values are first counted (so ties collapse before the shuffle), then a group's
-    range is cut at approximate quantiles and ranks run within (group, piece); the
-    pieces' sums give the offsets. No task sorts or holds a whole group. Null and NaN
+    Values are first counted (so ties collapse before the shuffle), then the range of a
+    group with more than ``piece_rows`` values is cut at approximate quantiles and
+    ranks run within (group, piece); the pieces' sums give the offsets. No task sorts
+    or holds a large group. Null and NaN
     values don't count; a group without values gives no row; null keys are a group.
     """
     key_struct = F.struct(*(F.col(k) for k in keys)) if keys else F.struct(F.lit(1).alias("_"))
     counted = df.select(key_struct.alias("_k"), F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy("_k", "_v").agg(F.count("*").alias("_c"))
     # The approximation only balances the pieces; the ranks are exact whatever it is.
-    marks = counted.groupBy("_k").agg(F.percentile_approx("_v", F.array(*(F.lit(i / cuts) for i in range(1, cuts))), F.lit(400)).alias("_marks"))
+    marks = counted.groupBy("_k").agg(F.when(F.count("*") > piece_rows, F.percentile_approx("_v", F.array(*(F.lit(i / cuts) for i in range(1, cuts))), F.lit(400))).otherwise(F.array().cast("array<double>")).alias("_marks"))
     cut = counted.join(marks, "_k").withColumn("_piece", F.size(F.filter("_marks", lambda m: m < F.col("_v")))).drop("_marks")
     sums = cut.groupBy("_k", "_piece").agg(F.sum("_c").alias("_s"))
     run = Window.partitionBy("_k").orderBy("_piece")
