@@ -85,8 +85,9 @@ _LOCAL = "id string, `end` string, steps bigint, kind int, ext string, ext_weigh
 
 
 def _local(links: DataFrame, parts: int, name: str) -> DataFrame:
-    parted = links.repartitionByRange(parts, "id") if parts > 1 else links.coalesce(1)
-    return written(parted.mapInArrow(_resolve_local, _LOCAL), name)
+    if parts == 1:
+        return links.coalesce(1).mapInArrow(_resolve_local, _LOCAL)
+    return written(links.repartitionByRange(parts, "id").mapInArrow(_resolve_local, _LOCAL), name)
 
 
 def _jump_all(nodes: DataFrame, n: int) -> DataFrame:
@@ -108,14 +109,15 @@ def _jump_all(nodes: DataFrame, n: int) -> DataFrame:
     return links.select("id", F.coalesce("to", "id").alias("end"), F.when(F.col("to").isNull(), 0).otherwise(F.col("weight")).cast("bigint").alias("steps"), F.when(F.col("open"), CYCLE).otherwise(ROOT).alias("kind"))
 
 
-def resolve(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+def resolve(links: DataFrame, task_links: int = TASK_LINKS, stored: bool = False) -> DataFrame:
     """For each id the end of its chain: id, end, steps, state (rooted, dangling or looping).
 
     ``links`` has id (unique, not null), parent (null: none). A looping chain runs into
-    a cycle; its end is one member of that cycle, at which it was cut.
+    a cycle; its end is one member of that cycle, at which it was cut. Links are written
+    first unless they are ``stored`` already.
     """
     level = links.select("id", F.col("parent").alias("to"), F.lit(1).cast("bigint").alias("weight"))
-    rows = written(level, "links")
+    rows = level if stored else written(level, "links")
     return _resolve(rows, rows.count(), task_links).select("id", "end", "steps", F.when(F.col("kind") == CYCLE, "looping").when(F.col("kind") == EXIT, "dangling").otherwise("rooted").alias("state"))
 
 
@@ -197,7 +199,7 @@ def clean_links(scopes: DataFrame) -> DataFrame:
 def _states(scopes: DataFrame, task_links: int) -> tuple[DataFrame, DataFrame]:
     """The cleaned links, and id, end (the first scope of the cycle for looping chains), root_id, depth, state."""
     links = written(clean_links(scopes), "scopes")
-    found = written(resolve(links, task_links), "ends")
+    found = written(resolve(links, task_links, stored=True), "ends")
     calm = found.filter(F.col("state") != "looping").select("id", "end", F.col("end").alias("root_id"), F.col("steps").alias("depth"), "state")
     looping = found.filter(F.col("state") == "looping")
     if not looping.limit(1).count():
@@ -207,7 +209,7 @@ def _states(scopes: DataFrame, task_links: int) -> tuple[DataFrame, DataFrame]:
     # With the members made roots, the rest of these chains are trees that hang on them.
     hung = loops.join(members.select(F.col("id").alias("_m"), "cycle_id"), F.col("id") == F.col("_m"), "left")
     hung = written(hung.select("id", F.when(F.col("_m").isNull(), F.col("parent")).alias("parent"), "cycle_id"), "hung")
-    trees = resolve(hung, task_links)
+    trees = resolve(hung, task_links, stored=True)
     named = hung.filter(F.col("cycle_id").isNotNull()).select(F.col("id").alias("_m"), "cycle_id")
     looped = trees.join(named, F.col("end") == F.col("_m")).select("id", "end", F.col("cycle_id").alias("root_id"), F.col("steps").alias("depth"), F.when(F.col("steps") == 0, "cyclic").otherwise("trapped").alias("state"))
     return links, calm.unionByName(looped)
