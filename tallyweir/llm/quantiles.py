@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..storage import written
 from ..tables import last_delivery, load
+from .tokens import pack_varint, unpack_varint
 
 #: Items of one section of a compactor; the rank error falls as 1/K.
 K = 64
@@ -32,8 +33,8 @@ SECTIONS = 3
 DELTA = 0.01
 QUANTILES = (0.5, 0.75, 0.9, 0.95, 0.99)
 METRICS = ("function_scores", "cyclomatic_complexities", "cognitive_complexities")
-#: Elements that a task holds while it makes partial sketches.
-HELD = 1_000_000
+#: Bytes of packed values that a task holds while it makes partial sketches.
+HELD = 2_000_000
 
 
 def capacity(n: int, k: int) -> int:
@@ -106,9 +107,15 @@ class Sketch:
         return math.sqrt(2 * math.log(2 / DELTA) * spread)
 
 
-# A partial sketch as columns; of a group without compactions only items is given.
+# A sketch as columns.
 _PART = "sizes array<int>, items array<double>, compactions array<bigint>, tops array<double>"
 _NAMES = ("sizes", "items", "compactions", "tops")
+# A group on its way to its sketch: its plain values, packed, or a sketch if it overflowed.
+_MOVED = f"mode tinyint, packed binary, {_PART}"
+_MOVED_NAMES = ("mode", "packed", *_NAMES)
+# How a list is packed: whole numbers, hundredths, or doubles as they are. All are exact.
+WHOLE, HUNDREDTHS, DOUBLES = 0, 1, 2
+_PACKABLE = float(1 << 34)
 _KEY = "project_key string, run_day date"
 
 
@@ -122,29 +129,67 @@ def _valid(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values[ok] + 0.0, np.diff(kept[np.concatenate([[0], np.cumsum(counts)])])
 
 
-def _seed(*key: object) -> int:
-    return int.from_bytes(str(key).encode()[-32:], "little") & 0x7FFFFFFFFFFFFFFF
+def pack_values(values: np.ndarray, counts: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Mode and bytes of each list of non-negative doubles; unpack_values gives back the same doubles."""
+    hundredths = np.rint(values * 100)
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    odd = lambda bad: np.diff(np.concatenate([[0], np.cumsum(bad)])[offsets]) > 0
+    not_whole = odd((np.rint(values) != values) | (values >= _PACKABLE))
+    mode = np.where(not_whole, np.where(odd((hundredths / 100 != values) | (hundredths >= _PACKABLE)), DOUBLES, HUNDREDTHS), WHOLE)
+    of = np.repeat(mode, counts)
+    small, plain = np.flatnonzero(mode != DOUBLES), np.flatnonzero(mode == DOUBLES)
+    kept = of != DOUBLES
+    codes = np.where(of[kept] == WHOLE, values[kept], hundredths[kept]).astype(np.int64)
+    parts = [pack_varint(codes, counts[small])]
+    if len(plain):
+        ends = (np.concatenate([[0], np.cumsum(counts[plain])]) * 8).astype(np.int32)
+        parts.append(pa.BinaryArray.from_buffers(pa.binary(), len(plain), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values[~kept].tobytes())]))
+    back = np.empty(len(mode), np.int64)
+    back[np.concatenate([small, plain])] = np.arange(len(mode))
+    return pa.array(mode.astype(np.int8)), pa.concat_arrays(parts).take(pa.array(back))
+
+
+def unpack_values(mode: pa.Array, packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The doubles of all lists, and how many each has; none for a null list."""
+    kind = pc.fill_null(mode, -1).to_numpy(zero_copy_only=False)
+    counts = np.zeros(len(kind), np.int64)
+    small, plain = np.flatnonzero((kind == WHOLE) | (kind == HUNDREDTHS)), np.flatnonzero(kind == DOUBLES)
+    codes, counts[small] = unpack_varint(packed.take(pa.array(small)))
+    doubles = np.empty(0)
+    if len(plain):
+        raw = packed.take(pa.array(plain))
+        counts[plain] = pc.binary_length(raw).to_numpy(zero_copy_only=False) // 8
+        doubles = np.frombuffer(b"".join(raw.to_pylist()), np.float64)
+    of = np.repeat(kind, counts)
+    values = np.empty(len(of))
+    values[of == DOUBLES] = doubles
+    values[of != DOUBLES] = np.where(of[of != DOUBLES] == HUNDREDTHS, codes / 100, codes)
+    return values, counts
+
+
+def _pack_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The three lists of each batch_no, measurements alone, packed for the shuffle."""
+    for batch in batches:
+        columns = [batch.column(c) for c in ("project_key", "run_day", "received_at", "batch")]
+        for metric in METRICS:
+            columns += pack_values(*_valid(batch.column(metric)))
+        yield pa.RecordBatch.from_arrays(columns, names=["project_key", "run_day", "received_at", "batch", *(f"{m}_{c}" for m in range(len(METRICS)) for c in ("mode", "packed"))])
 
 
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.float64()))
+def _seed(*key: object) -> int:
+    return int.from_bytes(str(key).encode()[-32:], "little") & 0x7FFFFFFFFFFFFFFF
 
 
-def _with_sketches(raw: pa.ListArray, sketches: dict[int, Sketch]) -> list[pa.Array]:
-    """The four columns of _PART: ``raw`` lists, with those of some rows replaced by sketches."""
-    n = len(raw)
+def _sketch_columns(n: int, sketches: dict[int, Sketch]) -> list[pa.Array]:
+    """The four columns of _PART for n rows, null except for the given ones."""
+    types = [pa.list_(t) for t in (pa.int32(), pa.float64(), pa.int64(), pa.float64())]
     if not sketches:
-        return [pa.nulls(n, pa.list_(pa.int32())), raw, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.float64()))]
-    sizes: list = [None] * n
-    compactions, tops = [None] * n, [None] * n
-    pieces, at = [], 0
-    for i in sorted(sketches):
-        s = sketches[i]
-        pieces += [raw.slice(at, i - at), pa.array([np.concatenate(s.levels)], pa.list_(pa.float64()))]
-        sizes[i], compactions[i], tops[i] = [len(x) for x in s.levels], s.compactions, s.tops
-        at = i + 1
-    pieces.append(raw.slice(at))
-    return [pa.array(sizes, pa.list_(pa.int32())), pa.concat_arrays(pieces), pa.array(compactions, pa.list_(pa.int64())), pa.array(tops, pa.list_(pa.float64()))]
+        return [pa.nulls(n, t) for t in types]
+    columns: list[list] = [[None] * n for _ in types]
+    for i, s in sketches.items():
+        for c, value in zip(columns, ([len(x) for x in s.levels], np.concatenate(s.levels), s.compactions, s.tops)):
+            c[i] = value
+    return [pa.array(c, t) for c, t in zip(columns, types)]
 
 
 def _groups(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -166,23 +211,26 @@ def _partial(k: int):
         table = table.take(pa.array(order))
         columns = [table.column(c).combine_chunks().take(pa.array(starts)) for c in ("project_key", "run_day", "slot")]
         keys = list(zip(columns[0].to_pylist(), columns[1].to_pylist())) if len(starts) else []
-        for metric in METRICS:
-            values, counts = _valid(table.column(metric).combine_chunks())
+        for m, metric in enumerate(METRICS):
+            values, counts = unpack_values(table.column(f"{m}_mode").combine_chunks(), table.column(f"{m}_packed").combine_chunks())
             per_group = np.add.reduceat(counts, starts)
             ends = np.cumsum(per_group)
             sketches = {}
             for g in np.flatnonzero(per_group > capacity(0, k)):
                 s = sketches[int(g)] = Sketch(k, _seed(metric, *keys[g]))
                 s.update(values[ends[g] - per_group[g] : ends[g]])
-            columns += _with_sketches(_lists(values, per_group), sketches)
-        names = ["project_key", "run_day", "slot", *(f"{m}_{c}" for m in range(len(METRICS)) for c in _NAMES)]
+            plain = per_group.copy()
+            plain[list(sketches)] = 0
+            mode, packed = pack_values(values[np.repeat(plain > 0, per_group)] if sketches else values, plain)
+            columns += [mode, packed, *_sketch_columns(len(starts), sketches)]
+        names = ["project_key", "run_day", "slot", *(f"{m}_{c}" for m in range(len(METRICS)) for c in _MOVED_NAMES)]
         yield from pa.table(columns, names=names).to_batches(max_chunksize=10_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             held.append(batch)
-            size += sum(len(batch.column(m).flatten()) for m in METRICS)
+            size += sum(len(batch.column(f"{m}_packed").buffers()[2] or b"") for m in range(len(METRICS)))
             if size >= HELD:
                 yield from flush(held)
                 held, size = [], 0
@@ -199,6 +247,20 @@ def _read_part(row_sizes: list | None, items: np.ndarray, compactions: list | No
     return [items[a:b] for a, b in zip(at, at[1:])], compactions or [], tops or []
 
 
+def _parts_of(table: pa.Table, m: int) -> tuple:
+    """Values of all rows, their bounds, and the sketch columns: plain rows are unpacked, sketches give their items."""
+    column = lambda c: table.column(f"{m}_{c}").combine_chunks()
+    values, counts = unpack_values(column("mode"), column("packed"))
+    sizes, items = column("sizes"), column("items")
+    if items.null_count < len(items):
+        own = pc.fill_null(pc.list_value_length(items), 0).to_numpy(zero_copy_only=False)
+        both = np.empty(len(values) + own.sum())
+        from_sketch = np.repeat(own > 0, counts + own)
+        both[from_sketch], both[~from_sketch] = items.flatten().to_numpy(zero_copy_only=False), values
+        values, counts = both, counts + own
+    return values, np.concatenate([[0], np.cumsum(counts)]), sizes, table.column(f"{m}_compactions"), table.column(f"{m}_tops")
+
+
 _RESULT = f"{_KEY}, metric int, n bigint, p array<double>, e array<double>, {_PART}"
 
 
@@ -229,7 +291,7 @@ class _Rows:
 
     def _put(self, project, day, metric, n, p, e, s: Sketch | None) -> None:
         rows = len(project)
-        own = _with_sketches(pa.array([[]] * rows, pa.list_(pa.float64())), {0: s}) if s else [pa.nulls(rows, pa.list_(t)) for t in (pa.int32(), pa.float64(), pa.int64(), pa.float64())]
+        own = _sketch_columns(rows, {0: s} if s else {})
         self.batches.append(pa.table([project, day, pa.array(np.full(rows, metric, np.int32)), n, p, e, *own], names=["project_key", "run_day", "metric", "n", "p", "e", *_NAMES]))
 
     def take(self) -> Iterator[pa.RecordBatch]:
@@ -275,9 +337,7 @@ def _merge_days(k: int, keep_days: bool):
             keys = list(zip(projects.to_pylist(), days.to_pylist()))
             parts = []
             for m in range(len(METRICS)):
-                items = table.column(f"{m}_items").combine_chunks()
-                counts = pc.fill_null(pc.list_value_length(items), 0).to_numpy(zero_copy_only=False)
-                parts.append((items.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(counts)]), table.column(f"{m}_sizes").combine_chunks(), table.column(f"{m}_compactions"), table.column(f"{m}_tops")))
+                parts.append(_parts_of(table, m))
 
             def fold(s: Sketch, m: int, lo: int, hi: int) -> None:
                 """Rows lo..hi into s: neighbouring raw lists at once, sketches one by one."""
@@ -365,9 +425,11 @@ def _sorted_parts(calibration: DataFrame, k: int) -> DataFrame:
     is_hot = F.coalesce(F.col("project_key").isin([h for h in hot if h is not None]), F.lit(None in hot))
     key = F.coalesce(F.col("batch_no").cast("string"), F.concat(F.lit("row "), F.xxhash64("project_key", "module_id", "run_day", "received_at", *METRICS).cast("string")))
     kept = calibration.select("project_key", "run_day", "received_at", key.alias("batch"), *(F.col(m).cast("array<double>").alias(m) for m in METRICS))
-    kept = last_delivery(kept, ["batch"], "received_at", ["project_key", "run_day", *METRICS]).withColumn("slot", F.when(is_hot, F.pmod(F.xxhash64("run_day"), F.lit(tasks))).otherwise(F.lit(0)).cast("int"))
-    columns = ", ".join(f"{m}_{c}" for m in range(len(METRICS)) for c in _PART.split(", "))
-    parts = kept.select("project_key", "run_day", "slot", *METRICS).mapInArrow(_partial(k), f"{_KEY}, slot int, {columns}")
+    columns = [f"{m}_{c}" for m in range(len(METRICS)) for c in ("mode", "packed")]
+    kept = kept.mapInArrow(_pack_batches, f"{_KEY}, received_at {kept.schema['received_at'].dataType.simpleString()}, batch string, " + ", ".join(f"{m}_mode tinyint, {m}_packed binary" for m in range(len(METRICS))))
+    kept = last_delivery(kept, ["batch"], "received_at", ["project_key", "run_day", *columns]).withColumn("slot", F.when(is_hot, F.pmod(F.xxhash64("run_day"), F.lit(tasks))).otherwise(F.lit(0)).cast("int"))
+    moved = ", ".join(f"{m}_{c}" for m in range(len(METRICS)) for c in _MOVED.split(", "))
+    parts = kept.select("project_key", "run_day", "slot", *columns).mapInArrow(_partial(k), f"{_KEY}, slot int, {moved}")
     return parts.repartition(tasks, "project_key", "slot").sortWithinPartitions("project_key", "run_day")
 
 

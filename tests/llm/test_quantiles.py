@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tallyweir.llm import quantiles
-from tallyweir.llm.quantiles import METRICS, QUANTILES, Sketch, day_sketches, merge_sketches, percentiles
+from tallyweir.llm.quantiles import METRICS, QUANTILES, Sketch, day_sketches, merge_sketches, pack_values, percentiles, unpack_values
 
 T = datetime(2025, 1, 1)
 SCHEMA = "project_key string, module_id string, run_day date, received_at timestamp, function_scores array<double>, cyclomatic_complexities array<double>, cognitive_complexities array<double>, batch_no bigint, slot string, n int, `0_items` string"
@@ -41,6 +41,15 @@ def test_rank_errors_stay_within_the_bound(shape, parts):
         assert distance(values, value, q) <= 0.15 * (1 - q) * len(values) + 1
 
 
+def test_packing_is_exact():
+    lists = [[], [1.0, 2.0, 0.0], [0.1, 1.25, 2.0], [1.23, 99999.99], [math.pi, 1.0], [2.0**40], [0.005], [1e300, 5e-324], []]
+    counts = np.array([len(x) for x in lists])
+    mode, packed = pack_values(np.array([v for x in lists for v in x]), counts)
+    values, n = unpack_values(mode, packed)
+    assert n.tolist() == counts.tolist() and values.tolist() == [v for x in lists for v in x]
+    assert mode.to_pylist() == [0, 0, 1, 1, 2, 2, 2, 2, 0]
+
+
 def rows(seed, n=400):
     rng = np.random.default_rng(seed)
     out = []
