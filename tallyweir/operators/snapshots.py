@@ -91,29 +91,27 @@ def policy_changes(snapshots: DataFrame, block: int = BLOCK) -> DataFrame:
     without snapshot_no are no snapshot; a null project is a project of its own.
     Columns besides those of the report are ignored.
     """
-    reports = last_delivery(
-        snapshots.filter(F.col("snapshot_no").isNotNull()).select("project_key", "snapshot_no", "delivered_at", *SECTIONS),
-        ["project_key", "snapshot_no"],
-        "delivered_at",
-    )
+    project = F.coalesce("project_key", F.lit(NULL_TOKEN))  # plain equality keeps the partitioning by (project, snapshot_no)
 
     def slim(section: str) -> Column:
+        """Sorted (record_key, row_hash) of a section, the greatest hash of each key; null stays null."""
         key, values = SECTIONS[section]
         records = F.filter(F.col(section), lambda r: r.isNotNull())
-        return F.array_distinct(F.transform(records, lambda r: F.struct(key(r).alias("record_key"), canonical_hash(values(r)).alias("row_hash"))))
-
-    sections = F.array(*(F.struct(F.lit(s).alias("section"), slim(s).alias("records")) for s in SECTIONS))
-    evaluated = reports.select("project_key", "snapshot_no", F.explode(sections).alias("_s")).select("project_key", "snapshot_no", "_s.section", "_s.records").filter(F.col("records").isNotNull())
-    linked = with_neighbours(evaluated.select("project_key", "section", "snapshot_no"), ["project_key", "section"], "snapshot_no", block)
-    linked = linked.select(*(F.col(c).alias(f"_l_{c}") for c in ("project_key", "section", "snapshot_no")), "prev_seq", "next_seq")
-    same = F.col("project_key").eqNullSafe(F.col("_l_project_key")) & (F.col("section") == F.col("_l_section")) & (F.col("snapshot_no") == F.col("_l_snapshot_no"))
-    records = (
-        evaluated.join(linked, same)
-        .select("project_key", "section", "snapshot_no", "prev_seq", "next_seq", F.explode("records").alias("_r"))
-        .groupBy("project_key", "section", "snapshot_no", "prev_seq", "next_seq", F.col("_r.record_key").alias("record_key"))
-        .agg(F.max("_r.row_hash").alias("row_hash"))
-    )
-    return diff_records(records, ["project_key", "section"], "snapshot_no", "record_key", "row_hash").select("project_key", "snapshot_no", "section", "record_key", "change_kind")
+        rows = F.array_sort(F.transform(records, lambda r: F.struct(key(r).alias("record_key"), canonical_hash(values(r)).alias("row_hash"))))
+        last = lambda a: F.filter(a, lambda x, i: ~x["record_key"].eqNullSafe(F.get(a, i + 1)["record_key"]))
+        return F.get(F.transform(F.array(rows), last), F.lit(0))
+
+    rows = snapshots.filter(F.col("snapshot_no").isNotNull()).select(project.alias("project_key"), "snapshot_no", "delivered_at", *(slim(s).alias(s) for s in SECTIONS)).withColumn("_hash", F.xxhash64(*SECTIONS))
+    delivered = ["project_key", "snapshot_no"]
+    reports = last_delivery(rows, delivered, "delivered_at", ["_hash"])
+    present = F.array_compact(F.array(*(F.when(F.col(s).isNotNull(), F.lit(s)) for s in SECTIONS)))
+    headers = last_delivery(rows.select(*delivered, "delivered_at", "_hash", present.alias("present")), delivered, "delivered_at", ["_hash"])
+    linked = with_neighbours(headers.select(*delivered, F.explode("present").alias("section")), ["project_key", "section"], "snapshot_no", block)
+    ends = linked.groupBy(*delivered).agg(*(F.max(F.when(F.col("section") == s, F.struct("prev_seq", "next_seq"))).alias(f"_{s}") for s in SECTIONS))
+    sections = F.array(*(F.struct(F.lit(s).alias("section"), F.col(f"_{s}.prev_seq").alias("prev_seq"), F.col(f"_{s}.next_seq").alias("next_seq"), F.col(s).alias("records")) for s in SECTIONS))
+    records = reports.join(ends, delivered).select(*delivered, F.explode(sections).alias("s")).select(*delivered, "s.section", "s.prev_seq", "s.next_seq", F.explode("s.records").alias("r")).select(*delivered, "section", "prev_seq", "next_seq", "r.record_key", "r.row_hash")
+    found = diff_records(records, ["project_key", "section"], "snapshot_no", "record_key", "row_hash")
+    return found.select(F.nullif("project_key", F.lit(NULL_TOKEN)).alias("project_key"), "snapshot_no", "section", "record_key", "change_kind")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
