@@ -17,9 +17,9 @@ ENTRYPOINT_OUTBOUND, ENTRYPOINT_VIOLATIONS = 8, 2
 
 
 def function_score(branch: Value, path: Value, nesting: Value, lines: Value) -> Column:
-    """Hotspot score of a function."""
+    """Hotspot score of a function, to two decimals."""
     size = at_most(0.25 * minus_floor(col(lines), 20), 20.0)
-    return 1.12 * (3.7 * col(branch) + 2.0 * minus_floor(col(path), 1) + 3.0 * minus_floor(col(nesting), 2) + size)
+    return round2(1.12 * (3.7 * col(branch) + 2.0 * minus_floor(col(path), 1) + 3.0 * minus_floor(col(nesting), 2) + size))
 
 
 def module_score(largest: Value, p95: Value, mean: Value, lines: Value) -> Column:
@@ -28,9 +28,9 @@ def module_score(largest: Value, p95: Value, mean: Value, lines: Value) -> Colum
 
 
 def crap(complexity: Value, coverage: Value) -> Column:
-    """CC^2 * (1 - cov)^3 + CC, cov as a fraction clamped to [0, 1]."""
+    """CC^2 * (1 - cov)^3 + CC to two decimals, cov as a fraction clamped to [0, 1]."""
     gap = 1.0 - clamp(col(coverage).cast("double"), 0.0, 1.0)
-    return col(complexity).cast("double") * col(complexity) * gap * gap * gap + col(complexity)
+    return round2(col(complexity).cast("double") * col(complexity) * gap * gap * gap + col(complexity))
 
 
 def maintainability(complexity: Value, lines: Value, api: Value, outbound: Value, inbound: Value) -> Column:
@@ -96,7 +96,7 @@ def type_signals(fields: Value, is_tuple: Column, variants: Value, payload: Valu
 
 
 def function_signals(branch: Value, nesting: Value, lines: Value) -> Column:
-    found = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in (("branching", col(branch) >= 8), ("nesting", col(nesting) >= 4), ("length", col(lines) >= 60)))))
+    found = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in (("branch pressure", col(branch) >= 8), ("deep nesting", col(nesting) >= 4), ("long function", col(lines) >= 60)))))
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("stable")))
 
 

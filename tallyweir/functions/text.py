@@ -95,7 +95,11 @@ def path_module_key(path: Column) -> Column:
 
 def is_test_path(path: Column) -> Column:
     path = slashes(path)
-    return path.startswith("tests/") | path.contains("/tests/") | path.rlike(r"_tests?\.rs$") | path.endswith("/tests.rs")
+    return path.startswith("tests/") | path.contains("/tests/") | path.startswith("benches/") | path.startswith("examples/") | path.rlike(r"(^|/)(tests?\.rs|[^/]*_tests\.rs)$")
+
+
+def is_test_module(module: Column) -> Column:
+    return F.exists(F.split(module, "::"), lambda s: s.isin("test", "tests") | s.endswith("_tests"))
 
 
 def test_kind(path: Column) -> Column:

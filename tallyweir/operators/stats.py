@@ -49,10 +49,10 @@ def exact_sum(value: Column, scale: int = 6) -> Column:
 
 def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n_values, mean, p50, p75, p90, p95, p99 and largest value of each group."""
+    if not keys:
+        return distribution(df.select(F.col(value), F.lit(0).alias("_all")), ["_all"], value).drop("_all")
     ranks = exact_percentiles(df, keys, value, (0.5, 0.75, 0.9, 0.95, 0.99), ("p50", "p75", "p90", "p95", "p99"))
     means = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys).agg((exact_sum(F.col(value)) / F.count(value)).alias("mean"), F.max(F.col(value).cast("double")).alias("largest"))
-    if not keys:
-        return ranks.join(F.broadcast(means), how="cross")  # one row against one row
     on = F.lit(True)
     for k in keys:
         on = on & F.col(k).eqNullSafe(F.col(f"_m_{k}"))

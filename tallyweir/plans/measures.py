@@ -29,7 +29,7 @@ def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FUNCTIONS_SQL = """
 fn as (
   select l_orderkey, l_linenumber, l_suppkey, l_linenumber branch, floor(l_quantity / 5) path, floor(l_linenumber / 2) nesting, l_quantity lines,
-         1.12::double * (3.7::double * l_linenumber + 2.0::double * greatest(floor(l_quantity / 5) - 1, 0) + 3.0::double * greatest(floor(l_linenumber / 2) - 2, 0) + least(0.25::double * greatest(l_quantity - 20, 0), 20.0::double)) score
+         round(1.12::double * (3.7::double * l_linenumber + 2.0::double * greatest(floor(l_quantity / 5) - 1, 0) + 3.0::double * greatest(floor(l_linenumber / 2) - 2, 0) + least(0.25::double * greatest(l_quantity - 20, 0), 20.0::double)) * 100) / 100 score
   from lineitem
 )"""
 
@@ -228,7 +228,7 @@ select l_suppkey, {_R2('largest')} largest, {_R2('p95')} p95, {_R2('mean')} mean
     "function_score_components": f"""
 with {_FUNCTIONS_SQL}
 select l_orderkey, l_linenumber, {_R2('score')} score, case when score >= 80.08::double then 'extreme' when score >= 32.98::double then 'high' when score >= 19.15::double then 'watch' else 'stable' end band,
-  coalesce(nullif(concat_ws(',', case when branch >= 8 then 'branching' end, case when nesting >= 4 then 'nesting' end, case when lines >= 60 then 'length' end), ''), 'stable') signals,
+  coalesce(nullif(concat_ws(',', case when branch >= 8 then 'branch pressure' end, case when nesting >= 4 then 'deep nesting' end, case when lines >= 60 then 'long function' end), ''), 'stable') signals,
   case when branch <= 0 then '0' when branch = 1 then '1' when branch <= 3 then '2-3' when branch <= 7 then '4-7' else '8+' end branch_bucket from fn""",
     "topk_hotspots": f"with {_FUNCTIONS_SQL} select l_orderkey, l_linenumber, {_R2('score')} score from (select * from fn order by score desc, l_orderkey, l_linenumber limit 10)",
     "score_distribution": f"select o_orderpriority, count(*) n_values, sum(o_totalprice::decimal(30,6))::double / count(*) mean, {', '.join(f'{_PCT(q, 'o_totalprice')} p{round(q * 100)}' for q in (0.5, 0.75, 0.9, 0.95, 0.99))}, max(o_totalprice) largest from orders group by 1",
