@@ -336,6 +336,27 @@ union all select report_id, check_no, 'child', item_no, sub_no, coalesce(x ->> '
 union all select report_id, check_no, 'command', item_no, -1::bigint, coalesce(x ->> 'target', '') from mi where json_type(x) = 'OBJECT'
 """,
 }
+
+
+def _field(obj: str, name: str, kind: str) -> str:
+    """A leaf in SQL: either spelling, JSON values minified, other types cast if they can be."""
+    camel = "".join(p.capitalize() if i else p for i, p in enumerate(name.split("_")))
+    one = lambda k: f"case when json_type({obj} -> '{k}') in ('OBJECT', 'ARRAY') then json({obj} -> '{k}')::varchar else {obj} ->> '{k}' end"
+    value = f"coalesce({one(name)}, {one(camel)})" if camel != name else one(name)
+    return f'{value} as "{name}"' if kind == "string" else f'try_cast({value} as {kind}) as "{name}"'
+
+
+def _table_sql(source: str, obj: str, places: str, group: str) -> str:
+    leaves = ", ".join(_field(obj, s.leaf, s.kind) for s in stripes(REPORT) if s.group == group)
+    return f"{_CHECKS_SQL} select report_id, {places}, {leaves} from {source} where json_type({obj}) = 'OBJECT'"
+
+
+SQL |= {
+    "p4_checks": _table_sql("obj", "c", "check_no", "checks"),
+    "p4_diagnostics": _table_sql("dx", "x", "check_no, item_no diagnostic_no", "checks/diagnostics"),
+    "p4_children": _table_sql("ci", "x", "check_no, item_no diagnostic_no, sub_no child_no", "checks/diagnostics/children"),
+    "p4_commands": _table_sql("mi", "x", "check_no, item_no command_no", "checks/commands"),
+}
 QUERIES = {
     "p4_found": p4_found,
     "p4_checks": _table("checks"),
