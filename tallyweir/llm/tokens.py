@@ -27,6 +27,7 @@ from ..tables import load
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text whose distinct words are listed together.
 BLOCK_BYTES = 16 << 20
+PIECE_BYTES = 8 << 20
 
 # The pattern that public byte-level BPE vocabularies are made for, and Unicode's White_Space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -171,14 +172,22 @@ def share_vocabulary(spark: SparkSession, path: str) -> Broadcast:
         return spark.sparkContext.broadcast(f.read())
 
 
+def pieces(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``limit`` bytes, so that long texts don't multiply in one task's memory."""
+    step = max(1, batch.num_rows * limit // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
     held, size = [], 0
     for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= limit:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
+        for piece in pieces(batch, limit):
+            held.append(piece)
+            size += piece.nbytes
+            if size >= limit:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
 
@@ -276,7 +285,7 @@ def count_tokens(documents: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(lines)
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b, PIECE_BYTES)):
             words, counts = split_words(batch.column("text"))
             coded = words.dictionary_encode()
             lengths = np.array([len(x) for x in vocab.encode(coded.dictionary)], np.int64)

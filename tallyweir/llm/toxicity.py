@@ -26,9 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
+from .tokens import pieces
 
 #: Labelled documents that the model is fitted on at most: those with the least hash of doc_id.
 SAMPLE = 20_000
+#: Bytes of text that are scored at once.
+SCORED_BYTES = 4 << 20
 #: Buckets of the weight vector: 4 MB, whatever the corpus.
 BUCKETS = 1 << 20
 GRADES = 3
@@ -311,8 +314,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for part in pieces(batch, SCORED_BYTES):
                 p = own.at_least(own.latent(part.column("text")))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array(p.sum(1)), pa.array(p[:, 0].copy())], names=["doc_id", "source", "severity", "p_toxic"])
 
