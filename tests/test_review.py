@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import uuid
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ def test_regressions_and_cache(spark):
     same(R.score_regressions(now, old, "m", "s", 1.0), [("b", 4.0), ("n", 3.0)], ["m", "delta"])
     with pytest.raises(Exception, match="versions differ"):
         R.score_regressions(now, old.withColumn("risk_model_version", F.lit(3)), "m", "s", 1.0).collect()
-    made = []
+    made, digest = [], uuid.uuid4().hex
     for _ in range(2):
-        assert R.cached(spark, "t", "d1", lambda: made.append(1) or now).count() == 3
+        assert R.cached(spark, "t", digest, lambda: made.append(1) or now).count() == 3
     assert made == [1]
