@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .numeric import Value, at_least, at_most, capped_sum, clamp, col, minus_floor, over_free, round2, total, weighted
 
+# Band thresholds and entrypoint allowances.
 FUNCTION_BANDS = (19.15, 32.98, 80.08)
 MODULE_BANDS = (67.30, 95.51, 139.94)
 TOTAL_BANDS = (712.99, 838.64, 1028.20)
@@ -112,7 +113,7 @@ def halstead(n1: Value, n2: Value, big_n1: Value, big_n2: Value) -> Column:
     return F.struct(volume.alias("volume"), difficulty.alias("difficulty"), (difficulty * volume).alias("effort"))
 
 
-#: Weight of each kind of escape hatch; raw-memory API calls are counted but carry none.
+# Weight of each kind of escape hatch; raw-memory API calls are counted but carry none.
 ESCAPE_WEIGHTS = {
     "unsafe_block": 10, "unsafe_fn": 10, "unsafe_impl": 10, "unsafe_trait": 10, "extern_block": 8, "extern_fn": 7, "mutable_static": 14, "union": 12,
     "raw_borrow": 6, "inline_asm": 14, "transmute": 12, "maybe_uninit": 5, "deref": 4, "deref_mut": 5, "glob_import": 2, "container_ref_return": 3,

@@ -67,6 +67,7 @@ def benchmark_estimates(spark: SparkSession, root: str) -> DataFrame:
     return joined.select(relative_to(F.col("_dir"), root).alias("id"), n.alias("estimate_nanoseconds"), F.col("e.confidence_interval.lower_bound").alias("low"), F.col("e.confidence_interval.upper_bound").alias("high"), F.col("e.confidence_interval.confidence_level").alias("level"), "samples", problem.alias("problem"))
 
 
+# Lines of the test runner's output.
 RUNNING = r"\s*Running\s+(?:(?:unittests|tests?)\s+)?(.+?\.rs)(?:\s+\(|$)"
 OUTCOME = r"test\s+(.+?)\s+\.\.\.\s+(ok|FAILED|ignored)"
 
@@ -168,6 +169,7 @@ def source_roots(targets: DataFrame) -> DataFrame:
     return both.distinct()
 
 
+# Statuses of a signal.
 SIGNAL_STATUSES = ("healthy", "breached", "unknown")
 SIGNALS = "id string, kind string, status string, value double, unit string, threshold string, modules array<string>, service string, source string"
 
