@@ -469,5 +469,11 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles(load(spark, sf_dir, "calibration"))
 
 
-QUERIES = {"p5_percentiles": p5_percentiles}
+def p5_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of all days of a project from its stored day sketches."""
+    days = written(day_sketches(load(spark, sf_dir, "calibration")), "days")
+    return merge_sketches(days)
+
+
+QUERIES = {"p5_percentiles": p5_percentiles, "p5_combined": p5_combined}
 SQL: dict[str, str] = {}
