@@ -26,9 +26,9 @@ OUTCOME_WORDS = {
     "security": ["security", "vulnerability"],
 }
 SECURITY_PREFIXES = ["cve-", "rustsec-"]
-# Words that token normalisation keeps, and the pattern of a token.
+# Words that token normalisation keeps, and the pattern of a token (other characters are none).
 KEYWORDS = ["fn", "let", "pub", "struct", "enum", "impl", "if", "match", "for", "while", "loop", "use", "mod", "return", "Self", "self"]
-TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\sA-Za-z0-9_]"
+TOKEN = r"[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+|::|->|=>|==|!=|<=|>=|&&|\|\||[{}()\[\];,.:+\-*/%&|^!<>=?]"
 
 FNV_PRIME, FNV_BASIS, FNV_BASIS_ARTIFACT = 1099511628211, 0xCBF29CE484222325, 1469598103934665603
 

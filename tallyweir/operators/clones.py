@@ -26,7 +26,7 @@ def file_windows(files: DataFrame, file: str, text: str, size: int = WINDOW_TOKE
     A text is tokenised once; a window is a slice of the joined tokens, and only its
     16-byte hash leaves the task. Null texts and texts of fewer tokens have none.
     """
-    pattern, digits = re.compile(f"({TOKEN})|(\n)"), re.compile(r"[0-9]+")
+    pattern, digits = re.compile("(" + TOKEN.replace(r"\p{Nd}", r"\d") + ")|(\n)"), re.compile(r"[0-9]+")
     keep = frozenset(KEYWORDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +38,7 @@ def file_windows(files: DataFrame, file: str, text: str, size: int = WINDOW_TOKE
                         line += 1
                         continue
                     first = token[0]
-                    tokens.append(token if token in keep else "LIT" if digits.fullmatch(token) else "ID" if first.isalpha() or first == "_" else token)
+                    tokens.append(token if token in keep else "LIT" if digits.fullmatch(token) else "ID" if (first.isascii() and first.isalpha()) or first == "_" else token)
                     lines.append(line)
                 n = len(tokens) - size + 1
                 if n < 1:

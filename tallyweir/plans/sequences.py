@@ -118,7 +118,7 @@ QUERIES = {f.__name__: f for f in (
 _TOKENS_SQL = r"""
 f as (select doc_id, text from documents where source = 'source_file' and text is not null),
 ln as (select doc_id, unnest(string_split(text, chr(10))) c, unnest(range(1, len(string_split(text, chr(10))) + 1)) l from f),
-tk as (select doc_id, l, unnest(regexp_extract_all(c, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\sA-Za-z0-9_]')) t, unnest(range(len(regexp_extract_all(c, '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\sA-Za-z0-9_]')))) i from ln),
+tk as (select doc_id, l, unnest(regexp_extract_all(c, '[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+|::|->|=>|==|!=|<=|>=|&&|\|\||[{}()\[\];,.:+\-*/%&|^!<>=?]')) t, unnest(range(len(regexp_extract_all(c, '[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+|::|->|=>|==|!=|<=|>=|&&|\|\||[{}()\[\];,.:+\-*/%&|^!<>=?]')))) i from ln),
 nt as (select doc_id, l, row_number() over (partition by doc_id order by l, i) p, case when t in ('fn','let','pub','struct','enum','impl','if','match','for','while','loop','use','mod','return','Self','self') then t when regexp_matches(t, '^[0-9]+$') then 'LIT' when regexp_matches(t, '^[A-Za-z_]') then 'ID' else t end t from tk),
 w as (select doc_id, p - 1 as at_, md5(string_agg(t, '|') over x) window_hash, l first_line, max(l) over x last_line, count(*) over x n from nt window x as (partition by doc_id order by p rows between current row and 49 following)),
 win as (select * from w where n = 50 and last_line - first_line + 1 >= 3),
