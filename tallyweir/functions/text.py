@@ -65,7 +65,7 @@ def relative_to(path: Column, root: str) -> Column:
 
 
 def segments(path: Column) -> Column:
-    return F.split(F.lower(F.regexp_replace(slashes(path), r"\.rs$", "")), r"/|::")
+    return F.split(F.lower(slashes(path)), r"/|::")
 
 
 def layer(path: Column) -> Column:
@@ -89,8 +89,11 @@ def module_key(path: Column) -> Column:
 
 
 def path_module_key(path: Column) -> Column:
-    """The simpler rule for repository-relative paths: every segment counts, src and mod do not."""
-    return F.array_join(F.filter(F.split(F.regexp_replace(slashes(path), r"\.rs$", ""), "/"), lambda s: ~s.isin("src", "mod", "")), "::")
+    """The simpler rule for repository-relative paths: what follows src/, without .rs and a last mod; elsewhere the file's stem."""
+    path = slashes(path)
+    inner = F.regexp_replace(F.regexp_replace(F.substring(path, 5, 1 << 30), r"(\.rs)+$", ""), r"(/mod)+$", "")
+    stem = F.regexp_replace(F.regexp_replace(path, "^.*/", ""), r"(?<=.)\.[^.]*$", "")
+    return F.when(path.startswith("src/"), F.replace(inner, F.lit("/"), F.lit("::"))).otherwise(stem)
 
 
 def is_test_path(path: Column) -> Column:
@@ -104,7 +107,7 @@ def is_test_module(module: Column) -> Column:
 
 def test_kind(path: Column) -> Column:
     path = slashes(path)
-    return F.when(path.startswith("tests/") | path.contains("/tests/"), "integration").when(path.startswith("benches/") | path.contains("/benches/"), "benchmark").when(path.startswith("examples/") | path.contains("/examples/"), "example").when(path.isNotNull(), "unit")
+    return F.when(path.startswith("tests/"), "integration").when(path.startswith("benches/"), "benchmark").when(path.startswith("examples/"), "example").when(path.startswith("src/bin/"), "binary").when(path.isNotNull(), "inline")
 
 
 def matches_pattern(path: Column, pattern: Column) -> Column:
@@ -129,10 +132,11 @@ def safe_name(name: Column) -> Column:
     return F.regexp_replace(name, r"[^A-Za-z0-9_-]", "_")
 
 
-def title(name: Column, stop: Iterable[str] = ("test", "tests", "it", "should")) -> Column:
-    """Up to seven words of an identifier, without stop words."""
-    own = F.filter(F.split(F.lower(F.element_at(F.split(name, "::"), -1)), "_+"), lambda w: (w != "") & ~w.isin(list(stop)))
-    return F.array_join(F.slice(own, 1, 7), " ")
+def title(name: Column, stop: Iterable[str] = ("test", "should", "when")) -> Column:
+    """"Checks ...": up to seven words of an identifier without stop words; "behavior" if none is left."""
+    own = F.filter(F.split(name, r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(list(stop)))
+    useful = F.when(F.size(own) > 0, F.array_join(F.slice(own, 1, 7), " ")).otherwise("behavior")
+    return F.when(name.isNotNull(), F.concat(F.lit("Checks "), useful, F.lit(".")))
 
 
 def last_segment(name: Column) -> Column:
@@ -145,10 +149,14 @@ def anchor(line: Column) -> Column:
 
 
 def version_triple(version: Column) -> Column:
-    """major, minor, patch as a struct, which orders as versions do; null unless numeric. Missing parts are 0."""
-    parts = F.split(F.regexp_extract(version, r"^v?(\d+(?:\.\d+){0,2})(?:[-+ ].*)?$", 1), r"\.")
-    part = lambda i: F.coalesce(F.get(parts, F.lit(i)).try_cast("bigint"), F.lit(0))
-    return F.when(F.get(parts, F.lit(0)).try_cast("bigint").isNotNull(), F.struct(part(0).alias("major"), part(1).alias("minor"), part(2).alias("patch")))
+    """major, minor, patch as a struct, which orders as versions do; null without a number in front. Other parts that are no numbers are 0.
+
+    What follows a dash or blank doesn't count; "rustc " may stand in front.
+    """
+    parts = F.split(F.get(F.split(F.regexp_replace(F.trim(version), "^rustc ", ""), "[- ]"), F.lit(0)), r"\.")
+    part = lambda i: F.get(parts, F.lit(i)).try_cast("bigint")
+    rest = lambda i: F.coalesce(part(i), F.lit(0).cast("bigint"))
+    return F.when(part(0) >= 0, F.struct(part(0).alias("major"), rest(1).alias("minor"), rest(2).alias("patch")))
 
 
 def raw_tokens(source: Column) -> Column:
@@ -193,12 +201,12 @@ def percent_decode(text: Column) -> Column:
 
 
 def finding_level(disposition: Column, severity: Column) -> Column:
-    """error, warning or note; the disposition goes before the severity."""
-    known = F.create_map(*(F.lit(x) for x in ("error", "error", "deny", "error", "blocking", "error", "warning", "warning", "warn", "warning", "advisory", "note", "note", "note", "info", "note")))
-    return F.coalesce(F.try_element_at(known, F.lower(disposition)), F.try_element_at(known, F.lower(severity)), F.lit("note"))
+    """error, warning or note; a known disposition goes before the severity."""
+    by_disposition = F.when(disposition == "block", "error").when(disposition == "warn", "warning").when(disposition.isin("review", "info"), "note")
+    return F.coalesce(by_disposition, F.when(severity.isin("error", "warning"), severity), F.lit("note"))
 
 
 def compiler_rule(code: Column) -> Column:
     """Rule id of a compiler's diagnostic code; clippy lints have a namespace of their own."""
-    lint = F.replace(F.lower(code), F.lit("_"), F.lit("-"))
-    return F.when(code.startswith("clippy::"), F.concat(F.lit("rust.clippy."), F.replace(lint, F.lit("clippy::"), F.lit("")))).when(code.isNotNull(), F.concat(F.lit("rust.compiler."), lint)).otherwise("rust.compiler.diagnostic")
+    dashed = F.replace(code, F.lit("_"), F.lit("-"))
+    return F.when(code.startswith("clippy::"), F.concat(F.lit("rust.clippy."), F.substring(dashed, 9, 1 << 30))).when(code.isNotNull(), F.concat(F.lit("rust.compiler."), F.lower(dashed))).otherwise("rust.compiler.diagnostic")

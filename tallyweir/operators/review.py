@@ -27,8 +27,14 @@ def finding_ids(findings: DataFrame) -> DataFrame:
 
 
 def declaration_only(snippet: Column) -> Column:
-    """Whether every line of a snippet is blank, an attribute, a use, a mod, a brace or a comment."""
-    return F.forall(F.split(snippet, "\n"), lambda l: F.trim(l).rlike(r"^(|#!?\[.*|(pub(\(.*\))? )?(use|mod|extern crate) .*|[{}();,]*|//.*)$"))
+    """Whether a snippet only declares: lone braces, attributes, public structs and fields."""
+
+    def declares(line: Column) -> Column:
+        line = F.trim(line)
+        field = line.endswith(",") & line.contains(":") & ~line.contains("(")
+        return line.isin("", "{", "}") | line.rlike(r"^(#\[|pub(\(crate\))? struct )") | field
+
+    return F.forall(F.split(snippet, "\n"), declares)
 
 
 def semantic_candidates(references: DataFrame, modules: DataFrame) -> DataFrame:

@@ -148,8 +148,8 @@ select coalesce(list_has_any(w, ['bug','bugs','bugfix','fix','fixes','fixed','de
   concat_ws('+', case when list_has_any(w, ['bug','bugfix','defect','fix','fixed','panic','crash','regression']) then 'defect' end, case when list_has_any(w, ['revert','rollback']) then 'revert' end, case when list_has_any(w, ['security','vulnerability']) or contains(s, 'cve-') or contains(s, 'rustsec-') then 'security' end) kinds, count(*) n from s group by all""",
     "path_names": None,
     "latest_versions": r"""
-with v as (select project_key, regexp_extract(tool_version, '^v?(\d+(?:\.\d+){0,2})(?:[-+ ].*)?$', 1) t from practices),
-n as (select project_key, t, case when t <> '' then [coalesce(string_split(t, '.')[1]::bigint, 0), coalesce(string_split(t, '.')[2]::bigint, 0), coalesce(string_split(t, '.')[3]::bigint, 0)] end v from v)
+with v as (select project_key, string_split(regexp_split_to_array(regexp_replace(trim(tool_version), '^rustc ', ''), '[- ]')[1], '.') t from practices),
+n as (select project_key, case when try_cast(t[1] as bigint) >= 0 then [try_cast(t[1] as bigint), coalesce(try_cast(t[2] as bigint), 0), coalesce(try_cast(t[3] as bigint), 0)] end v from v)
 select project_key, coalesce(array_to_string(max(v), '.'), '') latest, count(*) filter (where v is null) unreadable from n group by 1""",
     "rank_validation": """
 with l as (select doc_id, max(toxic) toxic from labels group by 1), d as (select source, toxic = 1 hit, row_number() over (partition by source order by -n_chars desc nulls last, doc_id) - 1 p, count(*) over (partition by source) n from documents join l using (doc_id)),
@@ -159,6 +159,6 @@ select source, n n_ranked, k n_relevant, round(case when k > 0 then t::double /
 from .relations import _LAYER_SQL  # noqa: E402
 
 SQL["path_names"] = f"""
-with {_OWN_SQL}, p as (select *, regexp_replace(path, '\\.rs$', '') q, string_split(lower(list_last(string_split(module_id, '::'))), '_') t from own)
-select module_id, {_LAYER_SQL('q')} layer, array_to_string(list_filter(string_split(q, '/'), lambda s: s not in ('src', 'mod', '')), '::') "key", regexp_replace(module_id, '[^A-Za-z0-9_-]', '_', 'g') safe,
-  array_to_string(list_slice(list_filter(t, lambda w: w not in ('', 'test', 'tests', 'it', 'should')), 1, 7), ' ') title from p"""
+with {_OWN_SQL}, p as (select *, list_filter(regexp_split_to_array(module_id, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w not in ('', 'test', 'should', 'when')) t from own)
+select module_id, {_LAYER_SQL('path')} layer, case when path like 'src/%' then replace(regexp_replace(regexp_replace(substring(path, 5), '(\\.rs)+$', ''), '(/mod)+$', ''), '/', '::') else regexp_replace(regexp_replace(path, '^.*/', ''), '(.)\\.[^.]*$', '\\1') end "key",
+  regexp_replace(module_id, '[^A-Za-z0-9_-]', '_', 'g') safe, 'Checks ' || case when len(t) > 0 then array_to_string(list_slice(t, 1, 7), ' ') else 'behavior' end || '.' title from p"""

@@ -56,15 +56,15 @@ def test_scores(spark):
 def test_subjects_and_paths(spark):
     assert [value(spark, X.is_defect_subject(F.lit(s))) for s in ("fix parser crash", "refresh fixture snapshots", "prefix command output")] == [True, False, False]
     assert value(spark, X.outcome_kinds(F.lit("Revert the fix of CVE-2024-1"))) == ["defect", "revert", "security"]
-    assert [value(spark, X.layer(F.lit(p))) for p in ("src/API/core.rs", "a::domain::db", "x/tests/y.rs", "misc")] == ["Interface", "Domain", "Tests", "Unclassified"]
-    assert value(spark, X.module_key(F.lit("crates/a/src/b/mod.rs"))) == "b" and value(spark, X.path_module_key(F.lit("crates\\a\\src\\b.rs"))) == "crates::a::b"
+    assert [value(spark, X.layer(F.lit(p))) for p in ("src/API/core.rs", "a::domain::db", "x/tests/y.rs", "misc/tests.rs")] == ["Interface", "Domain", "Tests", "Unclassified"]
+    assert value(spark, X.module_key(F.lit("crates/a/src/b/mod.rs"))) == "b" and [value(spark, X.path_module_key(F.lit(p))) for p in ("src\\a\\b.rs", "src/a/mod.rs", "crates/a/src/b.rs", ".x")] == ["a::b", "a", "b", ".x"]
     assert [value(spark, X.matches_pattern(F.lit(p), F.lit("a/**"))) for p in ("a/b", "a", "ab/c")] == [True, False, False]
     assert value(spark, X.matches_pattern(F.lit(None).cast("string"), F.lit("a/**"))) is False
-    triples = [value(spark, X.version_triple(F.lit(v)))for v in ("1.10.2", "v1.9", "x")]
+    triples = [value(spark, X.version_triple(F.lit(v)))for v in ("rustc 1.10.2-nightly (x)", "1.9", "x")]
     assert triples[0] > triples[1] and triples[2] is None
     assert value(spark, X.anchor(F.lit("  a \t b　c "))) == "a b c"
     assert spark.createDataFrame([("a",), ("",), (None,)], "t string").select(X.fnv1a64()("t").alias("h")).collect()[0]["h"] == "af63dc4c8601ec8c"
-    assert value(spark, X.title(F.lit("a::tests::it_should_parse_an_empty_list_of_very_long_names_now"))) == "parse an empty list of very long"
+    assert value(spark, X.title(F.lit("test_it_should_parse_an_empty_list_of_names"))) == "Checks it parse an empty list of names." and value(spark, X.title(F.lit("test"))) == "Checks behavior."
     assert value(spark, X.snippet(F.lit("a\nb\nc"), F.lit(2), F.lit(3))) == "b\nc" and value(spark, X.tail_lines(F.lit("a\nb\nc"), 2)) == "b\nc"
 
 

@@ -52,7 +52,7 @@ def test_summaries(spark):
     ranges = spark.createDataFrame([("a", 1, 5), ("a", 3, 9), ("b", None, None)], "path string, start_line bigint, end_line bigint")
     hits = spark.createDataFrame([("a", 3, True), ("a", 4, False), ("a", 20, True), ("b", 1, True)], "path string, line bigint, covered boolean")
     same(R.changed_line_coverage(ranges, hits), [("a", 2, 1, 50.0)], ["path", "executable", "covered", "percent"])
-    assert [value(R.declaration_only(F.lit(s))) for s in ("use a;\n\n}", "use a;\nfoo();")] == [True, False]
+    assert [value(R.declaration_only(F.lit(s))) for s in ("pub struct A\n{\n  x: u8,\n\n}", "pub struct A {\nfoo();")] == [True, False]
     assert [value(R.run_status(F.lit(e).cast("int"), F.lit(o).cast("string"), F.lit(t))) for e, o, t in ((0, "", False), (1, "error: could not compile", False), (1, "x", False), (None, None, False), (None, "x", False), (0, "", True))] == ["passed", "compile_failed", "failed", "unavailable", "incomplete", "timed_out"]
     assert value(R.test_failures(F.lit(None).cast("string"), F.lit(0))) == "test evidence is missing" and value(R.test_failures(F.lit("passed"), F.lit(0))) is None
 

@@ -181,7 +181,7 @@ def test_publish_and_sarif(spark, tmp_path):
     with pytest.raises(RuntimeError):
         artifacts.publish(spark, {"one": df.union(df), "two": df}, str(tmp_path / "out"), lambda: False)
     assert spark.read.parquet(str(tmp_path / "out/one")).count() == 1 and not (tmp_path / "out/two").exists()
-    rows = [("r.a", "m1", "a\\b.rs", 4, None, None, "warning", "i", None), ("r.a", "m2", "a.rs", None, None, "error", None, None, "known"), (None, "x", "y", 1, 1, None, None, None, None), ("r.b", None, None, 1, 1, None, None, None, None)]
+    rows = [("r.a", "m1", "a\\b.rs", 4, None, None, "warning", "i", None), ("r.a", "m2", "a.rs", None, None, "block", None, None, "known"), (None, "x", "y", 1, 1, None, None, None, None), ("r.b", None, None, 1, 1, None, None, None, None)]
     findings = spark.createDataFrame(rows, "rule_id string, message string, path string, line bigint, column bigint, disposition string, severity string, id string, waiver_reason string")
     artifacts.write_sarif(findings, str(tmp_path / "x.sarif"), "t")
     run = json.loads((tmp_path / "x.sarif").read_text())["runs"][0]
