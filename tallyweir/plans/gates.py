@@ -45,8 +45,8 @@ def rule_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def threshold_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers whose score exceeds 400; a supplier without items has an unknown score."""
     n = load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("_s")).agg(exact_sum(F.col("l_quantity"), 2).alias("q"))
-    s = load(spark, sf_dir, "supplier").filter(F.col("s_suppkey") % 3 != 0).join(n, F.col("s_suppkey") == F.col("_s"), "left")
-    return E.threshold_violations(s.select("s_suppkey", F.when(F.col("s_suppkey") % 5 != 0, round2(F.col("q") / 40)).alias("score")), "s_suppkey", "score", 400.0)
+    s = load(spark, sf_dir, "supplier").join(n, F.col("s_suppkey") == F.col("_s"), "left")
+    return E.threshold_violations(s.select("s_suppkey", round2(F.col("q") / 40).alias("score")), "s_suppkey", "score", 400.0)
 
 
 def freshness_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
