@@ -233,6 +233,11 @@ def scope_paths(scopes: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     the known part: after k rounds a scope holds the 2^k nearest ancestors and the
     next one to ask. Finished scopes leave the rounds.
     """
+    return _paths(scopes, task_links)[1]
+
+
+def _paths(scopes: DataFrame, task_links: int) -> tuple[DataFrame, DataFrame]:
+    """The cleaned links, and what scope_paths returns."""
     links, states = _states(scopes, task_links)
     states = written(states, "states")
     step = states.join(links, "id").select("id", "depth", F.when(F.col("depth") > 0, F.col("parent")).alias("next"))
@@ -248,19 +253,43 @@ def scope_paths(scopes: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
         open_ = written(todo.join(on, F.col("next") == F.col("_at")).select("id", "depth", F.col("_next").alias("next"), F.concat("up", "_up").alias("up")), "up")
         done = done.unionByName(open_.filter(F.col("next").isNull()))
     paths = done.select("id", F.reverse("up").alias("path"))
-    return states.join(paths, "id").select("id", "root_id", F.col("depth").cast("bigint").alias("depth"), "state", "path")
+    return links, states.join(paths, "id").select("id", "root_id", F.col("depth").cast("bigint").alias("depth"), "state", "path")
 
 
 def scope_descendants(paths: DataFrame) -> DataFrame:
-    """One row for each scope and each scope below it: id, descendant_id, distance.
+    """One row for each scope and each scope below it on its path: id, descendant_id, distance.
 
-    Rows, not lists: a root may have a third of all scopes below it. Of a cycle, the
-    members below each other are left out (they are all below themselves).
+    Rows, not lists: a root may have a third of all scopes below it. A path ends at the
+    first scope of a cycle; what lies round the cycle is added by all_descendants.
     """
     above = paths.select(F.col("id").alias("descendant_id"), "depth", F.posexplode("path").alias("_at", "id"))
     return above.filter(F.col("_at") < F.col("depth")).select("id", "descendant_id", (F.col("depth") - F.col("_at")).cast("bigint").alias("distance"))
 
 
+def all_descendants(scopes: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
+    """One row for each scope and each other scope below it: id, descendant_id, distance.
+
+    The members of a cycle are below each other, and a trapped scope is below all of
+    them; the distance is the number of steps up, round the cycle where need be. No
+    scope counts as below itself.
+    """
+    links, paths = _paths(scopes, task_links)
+    paths = written(paths, "paths")
+    below = scope_descendants(paths)
+    members = paths.filter(F.col("state") == "cyclic").select("id", "root_id")
+    if not members.limit(1).count():
+        return below
+    # Cut at its least id, a cycle is a chain, whose depths are the places round it.
+    cut = written(members.join(links, "id").select("id", F.when(F.col("id") != F.col("root_id"), F.col("parent")).alias("parent")), "cut")
+    place = written(resolve(cut, task_links, stored=True).select(F.col("id").alias("_m"), F.col("end").alias("_cycle"), F.col("steps").alias("_place")), "places")
+    length = place.groupBy(F.col("_cycle").alias("_l_cycle")).agg(F.count("*").alias("_length"))
+    looping = paths.filter(F.col("state").isin("cyclic", "trapped")).select(F.col("id").alias("descendant_id"), "depth", F.element_at("path", 1).alias("_entry"))
+    at = place.select(F.col("_m").alias("_e"), F.col("_cycle").alias("_e_cycle"), F.col("_place").alias("_e_place"))
+    entered = looping.join(at, F.col("_entry") == F.col("_e")).join(length, F.col("_e_cycle") == F.col("_l_cycle"))
+    round_ = entered.join(place, F.col("_e_cycle") == F.col("_cycle")).filter(F.col("_m") != F.col("_entry"))
+    return below.unionByName(round_.select(F.col("_m").alias("id"), "descendant_id", (F.col("depth") + F.pmod(F.col("_e_place") - F.col("_place"), F.col("_length"))).cast("bigint").alias("distance")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope_states(load(spark, sf_dir, "lexical"))
 
@@ -271,7 +300,7 @@ def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scope_descendants(scope_paths(load(spark, sf_dir, "lexical")))
+    return all_descendants(load(spark, sf_dir, "lexical"))
 
 
 _LINKS_SQL = """

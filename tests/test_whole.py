@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
+import pytest
+
+from tallyweir.operators import hierarchy
 from tallyweir.plans import gates
 
 from .conftest import same
+from .test_hierarchy import random_links, table
 
 
 def written(spark, at, **tables) -> str:
@@ -17,3 +23,23 @@ def test_threshold_violations_scores_every_supplier(spark, tmp_path):
     items = [(k, 20_000.0) for k in (1, 3, 5, 15)] + [(6, 100.0), (2, 16_000.0)]
     d = written(spark, tmp_path, lineitem=(items, "l_suppkey bigint, l_quantity double"), supplier=([(k,) for k in (1, 2, 3, 4, 5, 6, 9, 15)], "s_suppkey bigint"))
     same(gates.threshold_violations(spark, d), [(k, 500.0, "violation") for k in (1, 3, 5, 15)] + [(k, None, "unknown") for k in (4, 9)], ["s_suppkey", "score", "outcome"])
+
+
+def test_p3_descendants_go_round_the_cycle(spark, tmp_path):
+    links = [("a", None), ("b", "a"), ("x", "y"), ("y", "x"), ("z", "x"), ("w", "z"), ("s", "s"), ("t", "s")]
+    d = written(spark, tmp_path, lexical=([(i, p, datetime(2025, 1, 1)) for i, p in links], "id string, parent_id string, captured_at timestamp"))
+    expected = [("a", "b", 1), ("x", "y", 1), ("y", "x", 1), ("x", "z", 1), ("y", "z", 2), ("z", "w", 1), ("x", "w", 2), ("y", "w", 3), ("s", "t", 1)]
+    same(hierarchy.p3_descendants(spark, d), expected, ["id", "descendant_id", "distance"])
+
+
+@pytest.mark.parametrize("task_links", [10, 10_000])
+def test_all_descendants_against_brute_force(spark, task_links):
+    links = random_links(120, 4) | {"r1": "r3", "r2": "r1", "r3": "r2", "r4": "r2", "r5": "r4"}
+    expected = []
+    for x in links:
+        above, at = [x], links[x]
+        while at in links and at not in above:
+            expected.append((at, x, len(above)))
+            above.append(at)
+            at = links[at]
+    same(hierarchy.all_descendants(table(spark, links.items()), task_links), expected, ["id", "descendant_id", "distance"])
