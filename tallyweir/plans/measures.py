@@ -183,8 +183,8 @@ def type_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def locality_leverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Degrees of the supplier-part graph and the two scores that follow from them."""
-    edges = load(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("dst"))
-    vertices = load(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("module")).unionByName(load(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey") % 50).alias("module")).distinct())
+    edges = load(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst"))
+    vertices = load(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("module")).unionByName(load(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("module")))
     entry = F.col("module").endswith("7")
     return degrees(vertices, "module", edges).select("module", F.col("outbound").cast("bigint").alias("outbound"), F.col("inbound").cast("bigint").alias("inbound"), S.locality_risk(F.col("outbound"), F.col("inbound"), entry).alias("locality_risk"), S.leverage_pressure(F.col("outbound"), F.col("inbound"), entry).alias("leverage_pressure"), S.reuse(F.col("inbound")).alias("reuse"))
 

@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 
 from tallyweir.operators import hierarchy
-from tallyweir.plans import gates
+from tallyweir.plans import gates, measures, relations
 
 from .conftest import same
 from .test_hierarchy import random_links, table
@@ -43,3 +43,9 @@ def test_all_descendants_against_brute_force(spark, task_links):
             above.append(at)
             at = links[at]
     same(hierarchy.all_descendants(table(spark, links.items()), task_links), expected, ["id", "descendant_id", "distance"])
+
+
+def test_locality_leverage_keeps_parts_apart(spark, tmp_path):
+    items = [(1, 1), (1, 51), (1, 101), (1, 101), (2, 51), (3, 51)]
+    d = written(spark, tmp_path, lineitem=(items, "l_suppkey bigint, l_partkey bigint"), supplier=([(k,) for k in (1, 2, 3, 4)], "s_suppkey bigint"), part=([(k,) for k in (1, 51, 101, 151)], "p_partkey bigint"))
+    same(measures.locality_leverage(spark, d), [("s1", 3, 0), ("s2", 1, 0), ("s3", 1, 0), ("s4", 0, 0), ("p1", 0, 1), ("p51", 0, 3), ("p101", 0, 1), ("p151", 0, 0)], ["module", "outbound", "inbound"])
