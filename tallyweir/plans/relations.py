@@ -23,9 +23,8 @@ _OWN_SQL = "own as (select * from (select *, row_number() over (partition by mod
 def coalesced_key_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Churn of each module by its id, else by its readable key."""
     churn = _commits(spark, sf_dir).select(F.explode("modules").alias("k"), "churn").groupBy("k").agg(F.sum("churn").cast("double").alias("v"))
-    half = churn.filter(F.length("k") % 2 == 0)
     readable = churn.withColumn("k", F.array_join(F.slice(F.split("k", "::"), 3, 100), "::")).groupBy("k").agg(F.max("v").alias("v"))
-    return J.coalesced_key_join(_modules(spark, sf_dir).select("module_id", "module_key"), half.unionByName(readable), ["module_id", "module_key"], "k", "v", "churn")
+    return J.coalesced_key_join(_modules(spark, sf_dir).select("module_id", "module_key"), churn.unionByName(readable), ["module_id", "module_key"], "k", "v", "churn")
 
 
 def range_join_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +91,7 @@ def first_match_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _commits(spark, sf_dir).select(F.explode("modules").alias("k")).groupBy("k").agg(F.count("*").alias("n"))
     tails = counts.select(F.element_at(F.split("k", "::"), 1).alias("k"), "n").groupBy("k").agg(F.min("n").alias("n"))
     own = _modules(spark, sf_dir).select("module_id", "module_key", "path", "package_name")
-    found = J.first_match(own, ["module_id"], [F.when(F.length("module_id") % 3 == 0, F.col("module_id")), F.col("module_key"), module_key(F.col("path")), F.col("package_name")], counts.unionByName(tails), "k", "n", "commits")
+    found = J.first_match(own, ["module_id"], [F.col("module_id"), F.col("module_key"), module_key(F.col("path")), F.col("package_name")], counts.unionByName(tails), "k", "n", "commits")
     return found.select("module_id", "commits")
 
 

@@ -49,3 +49,25 @@ def test_locality_leverage_keeps_parts_apart(spark, tmp_path):
     items = [(1, 1), (1, 51), (1, 101), (1, 101), (2, 51), (3, 51)]
     d = written(spark, tmp_path, lineitem=(items, "l_suppkey bigint, l_partkey bigint"), supplier=([(k,) for k in (1, 2, 3, 4)], "s_suppkey bigint"), part=([(k,) for k in (1, 51, 101, 151)], "p_partkey bigint"))
     same(measures.locality_leverage(spark, d), [("s1", 3, 0), ("s2", 1, 0), ("s3", 1, 0), ("s4", 0, 0), ("p1", 0, 1), ("p51", 0, 3), ("p101", 0, 1), ("p151", 0, 0)], ["module", "outbound", "inbound"])
+
+
+def modules_and_commits(spark, at) -> str:
+    """Three modules that share a readable key, one known by it alone, and one without commits."""
+    day = datetime(2025, 1, 1)
+    facts = [("oo::p::mm", "mm", "src/mm.rs", "oo"), ("o::pp::mm", "mm", "src/mm.rs", "o"), ("o::ppp::mm", "mm", "src/mm.rs", "o"), ("q::p::none", "none", "src/none.rs", "q"), ("o::p::gone", "gone", "src/gone.rs", "o")]
+    commits = [("h1", ["oo::p::mm"], 3), ("h2", ["oo::p::mm"], 4), ("h3", ["o::pp::mm"], 50), ("h4", ["o::pp::mm"], 1), ("h5", ["o::pp::mm"], 1), ("h6", ["none"], 9)]
+    return written(
+        spark, at,
+        file_facts=([(*f, day) for f in facts], "module_id string, module_key string, path string, package_name string, scanned_at timestamp"),
+        history=([(*c, day) for c in commits], "hash string, modules array<string>, churn bigint, ingested_at timestamp"),
+    )
+
+
+def test_coalesced_key_metric_takes_the_id_first(spark, tmp_path):
+    found = relations.coalesced_key_metric(spark, modules_and_commits(spark, tmp_path))
+    same(found, [("oo::p::mm", 7.0), ("o::pp::mm", 52.0), ("o::ppp::mm", 52.0), ("q::p::none", 9.0), ("o::p::gone", None)], ["module_id", "churn"])
+
+
+def test_first_match_priority_tries_the_id_first(spark, tmp_path):
+    found = relations.first_match_priority(spark, modules_and_commits(spark, tmp_path))
+    same(found, [("oo::p::mm", 2), ("o::pp::mm", 3), ("o::ppp::mm", 3), ("q::p::none", 1), ("o::p::gone", 3)], ["module_id", "commits"])
