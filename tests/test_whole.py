@@ -71,3 +71,16 @@ def test_coalesced_key_metric_takes_the_id_first(spark, tmp_path):
 def test_first_match_priority_tries_the_id_first(spark, tmp_path):
     found = relations.first_match_priority(spark, modules_and_commits(spark, tmp_path))
     same(found, [("oo::p::mm", 2), ("o::pp::mm", 3), ("o::ppp::mm", 3), ("q::p::none", 1), ("o::p::gone", 3)], ["module_id", "commits"])
+
+
+def test_nation_cycles_takes_every_edge(spark, tmp_path):
+    """Nations 1 and 2 trade in a circle; 3 only buys from 1, so it is in none."""
+    trade = [(1, 2), (2, 1), (3, 1)]
+    d = written(
+        spark, tmp_path,
+        orders=([(k, c) for k, (c, _) in enumerate(trade)], "o_orderkey bigint, o_custkey bigint"),
+        customer=([(k, k) for k in (1, 2, 3)], "c_custkey bigint, c_nationkey bigint"),
+        lineitem=([(k, s) for k, (_, s) in enumerate(trade)], "l_orderkey bigint, l_suppkey bigint"),
+        supplier=([(k, k) for k in (1, 2, 3)], "s_suppkey bigint, s_nationkey bigint"),
+    )
+    assert {r[0] for r in relations.nation_cycles(spark, d).collect()} == {"1", "2"}
