@@ -327,5 +327,11 @@ QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_desc
 SQL = {
     "p3_found": _WALK_SQL + "select id, root_id, depth::bigint depth, state from flat",
     "p3_paths": _WALK_SQL + "select id, root_id, depth::bigint depth, state, array_to_string(path, ' > ') path from flat",
-    "p3_descendants": _WALK_SQL + "select a id, id descendant_id, (len(path) - i)::bigint distance from (select id, path, unnest(path) a, unnest(range(1, len(path) + 1)) i from flat) where i < len(path)",
+    # Up from every scope, once round the cycle it runs into, and never to itself.
+    "p3_descendants": f"""
+with recursive {_LINKS_SQL}, up as (
+  select p.id, l.id descendant_id, 1 d, p.parent next, [p.id] seen from links l join links p on p.id = l.parent where p.id <> l.id
+  union all
+  select p.id, u.descendant_id, u.d + 1, p.parent, list_append(u.seen, p.id) from up u join links p on p.id = u.next where p.id <> u.descendant_id and not list_contains(u.seen, p.id)
+) select id, descendant_id, d::bigint distance from up""",
 }

@@ -107,7 +107,7 @@ with {_FINDINGS_SQL}, c as (select rule_id, count(*) filter (where rule_id = 'cl
 j as (select r.*, coalesce(o, 0) o, case when av and level <> 'off' then coalesce(n - o, 0) end ob from r left join c using (rule_id))
 select rule_id, level, ob observed, o excluded, case when ob is null then 0 else greatest(ob - mx, 0) end excess, case when level = 'off' then 'disabled' when not av then 'incomplete' when ob > mx then 'exceeded' else 'passed' end status from j""",
     "threshold_violations": f"""
-with q as (select l_suppkey, sum(l_quantity::decimal(30,2))::double q from lineitem group by 1), s as (select s_suppkey, case when s_suppkey % 5 <> 0 then {_R2('q / 40')} end score from supplier left join q on l_suppkey = s_suppkey where s_suppkey % 3 <> 0)
+with q as (select l_suppkey, sum(l_quantity::decimal(30,2))::double q from lineitem group by 1), s as (select s_suppkey, {_R2('q / 40')} score from supplier left join q on l_suppkey = s_suppkey)
 select s_suppkey, score, case when score is null then 'unknown' else 'violation' end outcome from s where score is null or score > 400""",
     "freshness_by_user": """
 with l as (select user_id, max(ts) ts, max(value) is not null whole, count(*) n from events group by 1)

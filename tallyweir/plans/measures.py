@@ -273,8 +273,9 @@ with u as (select l_partkey, count(*) m, count(distinct l_suppkey) f, count(dist
 select p_partkey, case when m is not null then {_R2('greatest(least(least(greatest(z - 8, 0) * 2.5::double, 35) + least(greatest(z / 3 - 8, 0) * 1.8::double, 28) + least(greatest(z / 2 - 10, 0) * 1.4::double, 18) + least(greatest(m - 12, 0) * 0.85::double, 32) + least(greatest(z - 30, 0) * 0.35::double, 12) + least(4.5::double * greatest(f - 2, 0) + 1.2::double * greatest(b - 4, 0), 24), 100), 0)')} end risk,
   concat_ws(',', case when z >= case when z > 40 then 8 else 16 end then 'wide-fields' end, case when m >= 20 then 'many-methods' end, case when f >= 4 then 'scattered-files' end, case when b >= 6 then 'many-blocks' end, case when z >= 45 then 'long-declaration' end) signals from j""",
     "locality_leverage": f"""
-with e as (select distinct 's' || l_suppkey src, 'p' || (l_partkey % 50) dst from lineitem), v as (select 's' || s_suppkey m from supplier union select 'p' || (p_partkey % 50) from part),
-d as (select m, (select count(*) from e where src = m) o, (select count(*) from e where dst = m) i, m like '%7' ep from v)
+with e as (select distinct 's' || l_suppkey src, 'p' || l_partkey dst from lineitem), v as (select 's' || s_suppkey m from supplier union all select 'p' || p_partkey from part),
+eo as (select src, count(*) n from e group by 1), ei as (select dst, count(*) n from e group by 1),
+d as (select m, coalesce(eo.n, 0) o, coalesce(ei.n, 0) i, m like '%7' ep from v left join eo on src = m left join ei on dst = m)
 select m "module", o::bigint outbound, i::bigint inbound, {_R2('least(3.0::double * greatest(o - case when ep then 8 else 5 end, 0) + 0.75::double * greatest(i - 12, 0), 100)')} locality_risk, {_R2('100 - greatest(least(68 + 2.5::double * i - case when ep then 1.5::double else 3.0::double end * o, 100), 0)')} leverage_pressure, least(i * 10.0::double, 100) reuse from d""",
     "halstead_metrics": """
 with p as (select p_partkey, p_size::double n1, (p_partkey % 7)::double n2, p_size * 3.0::double m1, (p_partkey % 7) * 4.0::double m2 from part),
