@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import bisect
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
-from tallyweir.llm.packing import fill_report, pack, pack_documents, plan_best_fit
+from tallyweir.llm.packing import across, fill_report, pack, pack_documents, packing_faults, sweep
 
 
 def check(rows, sizes: list[tuple], capacity: int):
@@ -30,13 +32,13 @@ def check(rows, sizes: list[tuple], capacity: int):
     return len(fill)
 
 
-@pytest.mark.parametrize("rank_rows", [5, 100_000])
+@pytest.mark.parametrize("sweep_rows", [60, 100_000])
 @pytest.mark.parametrize("low,high", [(1, 30), (20, 90), (1, 400), (50, 50)])
-def test_valid_and_tight(spark, rank_rows, low, high):
+def test_valid_and_tight(spark, sweep_rows, low, high):
     rng = random.Random(low * high)
     sizes = [(i, rng.randint(low, high)) for i in range(400)]
     df = spark.createDataFrame(sizes, "item bigint, size bigint").repartition(4)
-    n = check([tuple(r) for r in pack(df, "item", "size", 100, rank_rows).collect()], sizes, 100)
+    n = check([tuple(r) for r in pack(df, "item", "size", 100, sweep_rows).collect()], sizes, 100)
     # Best fit in falling size needs at most 11/9 of the optimum and 4 more.
     assert n <= 11 / 9 * -(-sum(s for _, s in sizes) // 100) * (2 if low >= 50 else 1) + 4
     if high <= 30:
@@ -54,7 +56,7 @@ def test_only_long_items_are_split(spark):
 
 
 def test_one_size_holds_everything(spark):
-    rows = [tuple(r) for r in pack(spark.range(1000).selectExpr("id item", "33L size"), "item", "size", 100, 50).collect()]
+    rows = [tuple(r) for r in pack(spark.range(1000).selectExpr("id item", "33L size"), "item", "size", 100, 400).collect()]
     assert check(rows, [(i, 33) for i in range(1000)], 100) == 334
 
 
@@ -65,12 +67,57 @@ def test_empty(spark):
     assert [tuple(r) for r in fill_report(packed).collect()] == [(0, 0, None)]
 
 
-def test_plan_depends_on_the_capacity_alone():
-    small, large = (plan_best_fit([(s, n + s % 7) for s in range(1, 2049)], 2048) for n in (50, 10**12))
-    assert len(small) < 4 * 2048 and len(large) < 4 * 2048
-
-
-def test_best_fit_takes_the_nearest_gap():
-    # 60 leaves a gap of 40, 70 one of 30: the 30 goes where it fits best.
-    plan = plan_best_fit([(60, 1), (70, 1), (30, 1)], 100)
-    assert plan == [(70, 0, 1, 0, 1, 0), (60, 0, 1, 1, 1, 0), (30, 0, 1, 0, 1, 70)]
+def sequential(sizes: list[int], capacity: int) -> int:
+    """Containers of best fit in falling size, one item after another."""
+    gaps: list[int] = []
+    for s in sorted(sizes, reverse=True):
+        at = bisect.bisect_left(gaps, s)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        bisect.insort(gaps, gap - s)
+    return len(gaps)
+
+
+def test_against_one_after_another(spark):
+    """Bulk rounds need at most one per cent more containers than sequential best fit."""
+    rng = random.Random(7)
+    sizes = [min(2048, int(rng.lognormvariate(4.6, 1.4)) + 1) for _ in range(20_000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "item bigint, size bigint").repartition(4)
+    rows = [tuple(r) for r in pack(df, "item", "size", 2048, 3000).collect()]
+    assert check(rows, list(enumerate(sizes)), 2048) <= 1.01 * sequential(sizes, 2048)
+
+
+def test_sweep_takes_the_nearest_gap():
+    # In falling order: gaps 90 and 50, item 40, gap 30, items 30, 20 and 10.
+    size, is_gap = np.array([90, 50, 40, 30, 30, 20, 10]), np.array([1, 1, 0, 1, 0, 0, 0], bool)
+    items, gaps, lost, free = sweep(size, is_gap)
+    assert list(zip(items.tolist(), gaps.tolist())) == [(2, 1), (4, 3), (5, 0)] and lost.tolist() == [6] and free.tolist() == []
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_ranges_match_as_one_sweep(seed):
+    """Cut anywhere, the ranges match as many as a single sweep, and every item gets a gap of at least its size."""
+    rng = np.random.default_rng(seed)
+    size, is_gap = np.sort(rng.integers(1, 40, 200))[::-1], rng.random(200) < 0.5
+    order = np.lexsort((~is_gap, -size))
+    size, is_gap = size[order], is_gap[order]
+    cuts = [0, *sorted(rng.integers(0, 200, 6).tolist()), 200]
+    matched, left, parts = [], [], {}
+    for p, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
+        items, gaps, lost, free = (x + lo for x in sweep(size[lo:hi], is_gap[lo:hi]))
+        matched += list(zip(items, gaps))
+        parts[p] = (lost, free)
+        left.append((p, len(lost), len(free)))
+    for i_part, i_rank, g_part, g_rank, n, _ in across(left):
+        matched += list(zip(parts[i_part][0][i_rank : i_rank + n], parts[g_part][1][g_rank : g_rank + n]))
+    whole = sweep(size, is_gap)
+    assert sorted(matched) == sorted(zip(whole[0], whole[1]))
+
+
+def test_faults_are_found(spark):
+    sizes = spark.createDataFrame([(1, 250), (2, 40), (3, 0)], "item bigint, size bigint")
+    good = [(1, 0, 0, 0, 100), (1, 1, 1, 0, 100), (1, 2, 2, 0, 50), (2, 0, 2, 50, 40)]
+    bad = [(1, 0, 0, 0, 100), (1, 1, 1, 0, 100), (1, 2, 2, 0, 50), (2, 0, 2, 40, 40)]
+    schema = "item bigint, piece_no bigint, container bigint, start bigint, n_units bigint"
+    assert [tuple(r) for r in packing_faults(spark.createDataFrame(good, schema), sizes, "item", "size", 100).collect()] == [(2, 0)]
+    assert [tuple(r) for r in packing_faults(spark.createDataFrame(bad, schema), sizes, "item", "size", 100).collect()] == [(2, 1)]
+    assert [tuple(r) for r in packing_faults(spark.createDataFrame(good[1:], schema), sizes, "item", "size", 100).collect()] == [(2, 1)]
