@@ -2,8 +2,8 @@
 
 A cumulative-link (proportional odds) model over sparse text features: one weight
 vector, shared by the ordered thresholds of the severity grades; the score of a text
-is its expected severity. Grades come from the reviews: 0 none, 1 doubtful (reviewers
-disagree, or toxic without a category), 2 confirmed.
+is its expected severity. Grades come from the reviews: 0 none, 1 contested (reviewers
+disagree), 2 unanimous. A missing category is missing metadata and changes no grade.
 
 An insult is a sentence, not a document, so sentences are scored and a document has
 the score of its worst one; in training, a document's gradient goes to its worst
@@ -35,7 +35,10 @@ SCORED_BYTES = 4 << 20
 #: Buckets of the weight vector: 4 MB, whatever the corpus.
 BUCKETS = 1 << 20
 GRADES = 3
-ROUNDS = 160
+ROUNDS = 80
+#: All sentences are scored again after so many rounds; between, those with at least LEAST_PART in their document's gradient.
+WHOLE_PASS = 10
+LEAST_PART = 0.01
 #: Probability of at least a doubtful grade from which on a document is a case.
 CASE = 0.5
 
@@ -61,7 +64,7 @@ def fold(word: str) -> str:
     """A word's normal form; numbers and program names become placeholders."""
     if word.isascii() and word.isalpha():
         return _RUNS.sub(r"\1\1", word.lower())
-    word = unicodedata.normalize("NFKD", word).casefold().translate(LOOKALIKES)
+    word = unicodedata.normalize("NFKD", word).casefold().translate(LOOKALIKES).strip("_")  # _word_ is emphasis
     word = "".join(c for c in word if not unicodedata.combining(c) and c not in "'’")
     if not word or word.isdigit():
         return "0"
@@ -243,8 +246,14 @@ def train(texts: pa.Array, grades: np.ndarray, rounds: int = ROUNDS, rate: float
     w, theta = np.zeros(len(used)), np.log((1 - share) / share)
     m, v, mt, vt = np.zeros(len(used)), np.zeros(len(used)), np.zeros(GRADES - 1), np.zeros(GRADES - 1)
     target = np.stack([y >= j for j in range(1, GRADES)], 1)
+    score = np.zeros(n_sent)
     for t in range(1, rounds + 1):
-        score = np.bincount(row, weights=w[where] * val, minlength=n_sent)
+        # Most sentences never are a document's worst: between whole passes only those with a share in the gradient are scored.
+        if t % WHOLE_PASS == 1:
+            live, live_where, live_val = row, where, val
+            score = np.bincount(row, weights=w[where] * val, minlength=n_sent)
+        else:
+            score[active] = np.bincount(live, weights=w[live_where] * live_val, minlength=n_sent)[active]
         own = score[sent]
         worst = np.maximum.reduceat(own, first)
         sharp = 1 + 6 * min(1.0, t / (0.5 * rounds))
@@ -260,8 +269,12 @@ def train(texts: pa.Array, grades: np.ndarray, rounds: int = ROUNDS, rate: float
         dt = np.zeros((len(y), GRADES + 1))
         dt[i, y] -= slope[i, y] / p
         dt[i, y + 1] += slope[i, y + 1] / p
+        if t % WHOLE_PASS == 1:
+            active = np.bincount(sent, weights=part > LEAST_PART, minlength=n_sent) > 0
+            kept = active[row]
+            live, live_where, live_val = row[kept], where[kept], val[kept]
         g_sent = np.bincount(sent, weights=d[of] * part, minlength=n_sent)
-        g = np.bincount(where, weights=g_sent[row] * val, minlength=len(used)) / len(y) - decay * w
+        g = np.bincount(live_where, weights=g_sent[live] * live_val, minlength=len(used)) / len(y) - decay * w
         gt = dt[:, 1:GRADES].mean(0)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mt, vt = 0.9 * mt + 0.1 * gt, 0.99 * vt + 0.01 * gt * gt
@@ -273,13 +286,10 @@ def train(texts: pa.Array, grades: np.ndarray, rounds: int = ROUNDS, rate: float
 
 
 def grade_labels(labels: DataFrame) -> DataFrame:
-    """doc_id and grade of each reviewed document; null reviews don't count.
-
-    A reviewer's own repeated reviews count as given; exact repeats of a row once.
-    """
-    seen = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic", "category", "reviewer", "reviewed_at").distinct()
-    each = seen.groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi"), F.max("category").alias("category"))
-    return each.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(F.col("hi") <= 0, 0).when((F.col("lo") > 0) & F.col("category").isNotNull(), 2).otherwise(1).alias("grade"))
+    """doc_id and grade of each reviewed document: 0 if no review says toxic, 2 if all do, else 1; null reviews don't count."""
+    seen = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", "toxic").distinct()
+    each = seen.groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi"))
+    return each.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.when(F.col("hi") <= 0, 0).when(F.col("lo") > 0, 2).otherwise(1).alias("grade"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -303,6 +313,17 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model(weights, np.frombuffer(found["thresholds"]))
 
 
+def save_model(spark: SparkSession, model: Model, path: str) -> None:
+    """Store a model (at most 4 MB) as one row, so that one fit serves many runs of ``score``."""
+    row = (bytearray(model.weights.astype(np.float32).tobytes()), bytearray(np.asarray(model.thresholds, np.float64).tobytes()))
+    spark.createDataFrame([row], "weights binary, thresholds binary").coalesce(1).write.parquet(path)
+
+
+def load_model(spark: SparkSession, path: str) -> Model:
+    row = spark.read.parquet(path).first()
+    return Model(np.frombuffer(row["weights"], np.float32), np.frombuffer(row["thresholds"]))
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, source, severity (expected grade, 0..2) and p_toxic (of at least a doubtful grade) of each row.
 
