@@ -28,7 +28,8 @@ HEAVY_SHARE = 256
 HEAVY_LEAST = 32
 #: Rare pairs that a block counts at once.
 CHUNK = 4_000_000
-SALTS = 16
+#: Join keys at most over which the rows of a scope are spread when they are dealt.
+SPREAD = 1024
 
 
 def _count(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -158,12 +159,20 @@ def pair_counts(baskets: DataFrame, scope: str, items: str, least_together: int
     an item are shuffled once a block, not once a basket. At most HEAVY_SHARE times the
     mean basket's size items of a scope are heavy, which bounds the bit matrix.
     """
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
     rows = baskets.select(F.coalesce(F.col(scope), F.lit("\x00")).alias("scope"), F.array_distinct(F.array_compact(items)).alias("items")).filter(F.size("items") > 0)
-    rows = written(rows.withColumn("salt", salt).withColumn("draw", F.xxhash64(F.monotonically_increasing_id())), "baskets")
+    rows = written(rows.withColumn("draw", F.xxhash64(F.monotonically_increasing_id())), "baskets")
     scopes = rows.groupBy("scope").agg(F.count("*").alias("n_baskets"))
-    salted = scopes.select("scope", "n_baskets", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = written(rows.join(salted, ["scope", "salt"]).select("scope", F.pmod("draw", F.ceil(F.col("n_baskets") / block)).cast("int").alias("block"), "items"), "dealt")
+    # Only scopes of more than a block are dealt; those are few, and each is listed once for every block of it.
+    large = scopes.filter(F.col("n_baskets") > block).select(F.col("scope").alias("_s"), F.ceil(F.col("n_baskets") / block).alias("_n"))
+    most = large.agg(F.max("_n")).first()[0] or 1
+    dealt = rows.withColumn("block", F.lit(0))
+    if most > 1:
+        # A hot scope's rows meet its line under as many join keys as it has blocks (up to SPREAD), so no task gets them all.
+        spread = min(most, SPREAD)
+        listed = large.select("_s", "_n", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_d"))
+        own = (F.col("scope") == F.col("_s")) & (F.pmod(F.shiftright("draw", 20), F.lit(spread)) == F.col("_d"))
+        dealt = rows.join(listed, own, "left").withColumn("block", F.coalesce(F.pmod("draw", F.col("_n")), F.lit(0)))
+    dealt = written(dealt.select("scope", F.col("block").cast("int").alias("block"), "items"), "dealt")
     local = written(dealt.select("scope", "block", F.explode("items").alias("item")).groupBy("scope", "block", "item").agg(F.count("*").alias("n_here")), "items")
     total = local.groupBy("scope", "item").agg(F.sum("n_here").alias("n")).join(scopes, "scope")
     total = total.filter((F.col("n") >= least_together) & (F.col("n") * least_lift <= F.col("n_baskets")))

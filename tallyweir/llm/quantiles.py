@@ -300,6 +300,12 @@ class _Rows:
             self.batches = []
 
 
+#: Slots of days that are dealt to several tasks.
+HOT_SLOT = 1 << 30
+#: Added to the metric of a sketch that is only a part of its day.
+OF_DAY = len(METRICS)
+
+
 def _merge_days(k: int, keep_days: bool):
     """Rows sorted by (project, day) to percentiles of each day and one sketch of each project.
 
@@ -310,15 +316,22 @@ def _merge_days(k: int, keep_days: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
         open_key: tuple | None = None
+        open_hot = False
         open_day: list[Sketch] = []
         project: object = None
         whole: list[Sketch] = []
 
+        def give_day(key: tuple, m: int, s: Sketch, hot: bool) -> None:
+            if hot or keep_days:
+                rows.part(key[0], m + OF_DAY if hot else m, s, key[1])
+            else:
+                rows.day(*key, m, s)
+
         def close_day() -> None:
             if open_key is not None:
                 for m, s in enumerate(open_day):
                     if s.n:
-                        rows.part(open_key[0], m, s, open_key[1]) if keep_days else rows.day(*open_key, m, s)
+                        give_day(open_key, m, s, open_hot)
 
         def close_project() -> None:
             if not keep_days:
@@ -335,6 +348,7 @@ def _merge_days(k: int, keep_days: bool):
             projects = table.column("project_key").combine_chunks().take(pa.array(starts))
             days = table.column("run_day").combine_chunks().take(pa.array(starts))
             keys = list(zip(projects.to_pylist(), days.to_pylist()))
+            hot = table.column("slot").to_numpy()[starts] >= HOT_SLOT
             parts = []
             for m in range(len(METRICS)):
                 parts.append(_parts_of(table, m))
@@ -364,7 +378,7 @@ def _merge_days(k: int, keep_days: bool):
                     values, at, sizes, _, _ = parts[m]
                     totals = np.diff(at[bounds])
                     packed = np.add.reduceat(sizes.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), starts) > 0
-                    simple = (totals <= capacity(0, k)) & ~packed & (np.arange(len(keys)) >= g) & (np.arange(len(keys)) < last)
+                    simple = (totals <= capacity(0, k)) & ~packed & ~hot & (np.arange(len(keys)) >= g) & (np.arange(len(keys)) < last)
                     calm = np.flatnonzero(simple & (totals > 0))
                     if keep_days:
                         calm = calm[:0]
@@ -375,7 +389,8 @@ def _merge_days(k: int, keep_days: bool):
                         if totals[i] and (keep_days or not simple[i]):
                             s = Sketch(k, _seed(METRICS[m], *keys[i]))
                             fold(s, m, bounds[i], bounds[i + 1])
-                            rows.part(keys[i][0], m, s, keys[i][1]) if keep_days else rows.day(*keys[i], m, s)
+                            give_day(keys[i], m, s, hot[i])
+                open_hot = bool(hot[last])
                 open_key, open_day = keys[last], [Sketch(k, _seed(x, *keys[last])) for x in METRICS]
                 for m in range(len(METRICS)):
                     fold(open_day[m], m, bounds[last], bounds[last + 1])
@@ -395,18 +410,18 @@ def _merge_days(k: int, keep_days: bool):
     return run
 
 
-def _merge_parts(k: int):
-    """Sketches of one project and metric, from tasks or days, to its percentiles."""
+def _merge_parts(k: int, keep: bool = False):
+    """Sketches of one project, metric and day (null: all days), from tasks or days, to its percentiles, or with ``keep`` to one sketch."""
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        project, metric = key[0].as_py(), key[1].as_py()
-        s = Sketch(k, _seed(METRICS[metric], project))
+        project, metric, day = (x.as_py() for x in key)
+        s = Sketch(k, _seed(METRICS[metric], project) if day is None else _seed(METRICS[metric], project, day))
         for batch in batches:
             for r in batch.to_pylist():
                 s.merge(*_read_part(r["sizes"], np.array(r["items"]), r["compactions"], r["tops"]))
         rows = _Rows()
-        rows.day(project, None, metric, s)
-        yield from (b.select(["project_key", "run_day", "metric", "n", "p", "e"]) for b in rows.take())
+        rows.part(project, metric, s, day) if keep else rows.day(project, day, metric, s)
+        yield from (b if keep else b.select(["project_key", "run_day", "metric", "n", "p", "e"]) for b in rows.take())
 
     return run
 
@@ -418,30 +433,43 @@ def _sorted_parts(calibration: DataFrame, k: int) -> DataFrame:
     """Partial sketches, each project's together and sorted by day; a hot project is spread over slots."""
     spark = calibration.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = calibration.groupBy("project_key").agg(F.count("*").alias("rows"))
-    total = sizes.agg(F.sum("rows")).first()[0] or 0
-    # A project is hot from half a task's share on, so there are at most twice as many as tasks.
-    hot = [r["project_key"] for r in sizes.filter(F.col("rows") * (2 * tasks) > total).collect()]
+    days = written(calibration.groupBy("project_key", "run_day").agg(F.count("*").alias("rows")), "days")
+    projects = days.groupBy("project_key").agg(F.sum("rows").alias("rows"))
+    total = projects.agg(F.sum("rows")).first()[0] or 0
+    # A project, or one day of it, is hot from half a task's share on, so there are at most twice as many as tasks.
+    is_large = F.col("rows") * (2 * tasks) > total
+    hot = [r["project_key"] for r in projects.filter(is_large).collect()]
     is_hot = F.coalesce(F.col("project_key").isin([h for h in hot if h is not None]), F.lit(None in hot))
+    one_day = F.concat_ws("|", F.coalesce("project_key", F.lit("\x00")), F.coalesce(F.col("run_day").cast("string"), F.lit("\x00")))
+    hot_days = [r["d"] for r in days.filter(is_large).select(one_day.alias("d")).collect()]
     key = F.coalesce(F.col("batch_no").cast("string"), F.concat(F.lit("row "), F.xxhash64("project_key", "module_id", "run_day", "received_at", *METRICS).cast("string")))
     kept = calibration.select("project_key", "run_day", "received_at", key.alias("batch"), *(F.col(m).cast("array<double>").alias(m) for m in METRICS))
     columns = [f"{m}_{c}" for m in range(len(METRICS)) for c in ("mode", "packed")]
     kept = kept.mapInArrow(_pack_batches, f"{_KEY}, received_at {kept.schema['received_at'].dataType.simpleString()}, batch string, " + ", ".join(f"{m}_mode tinyint, {m}_packed binary" for m in range(len(METRICS))))
-    kept = last_delivery(kept, ["batch"], "received_at", ["project_key", "run_day", *columns]).withColumn("slot", F.when(is_hot, F.pmod(F.xxhash64("run_day"), F.lit(tasks))).otherwise(F.lit(0)).cast("int"))
+    kept = last_delivery(kept, ["batch"], "received_at", ["project_key", "run_day", *columns])
+    # A hot project is dealt by day. A hot day is dealt by batch, to slots from HOT_SLOT on; its sketches then meet once more.
+    slot = F.when(one_day.isin(hot_days), HOT_SLOT + F.pmod(F.xxhash64("batch"), F.lit(tasks))).when(is_hot, F.pmod(F.xxhash64("run_day"), F.lit(tasks))).otherwise(F.lit(0))
+    kept = kept.withColumn("slot", slot.cast("int"))
     moved = ", ".join(f"{m}_{c}" for m in range(len(METRICS)) for c in _MOVED.split(", "))
     parts = kept.select("project_key", "run_day", "slot", *columns).mapInArrow(_partial(k), f"{_KEY}, slot int, {moved}")
     return parts.repartition(tasks, "project_key", "slot").sortWithinPartitions("project_key", "run_day")
 
 
+def _merged(parts: DataFrame, k: int, keep: bool = False) -> DataFrame:
+    """Parts of the same project, metric and day made one; a group has at most a part a task or day."""
+    return parts.select("project_key", "metric", "run_day", *_NAMES).groupBy("project_key", "metric", "run_day").applyInArrow(_merge_parts(k, keep), _RESULT if keep else _DONE)
+
+
 def day_sketches(calibration: DataFrame, k: int = K) -> DataFrame:
     """One mergeable sketch a project, day and metric: project_key, run_day, metric, n, sizes, items, compactions, tops."""
-    return _sorted_parts(calibration, k).mapInArrow(_merge_days(k, True), _RESULT).drop("p", "e")
+    found = written(_sorted_parts(calibration, k).mapInArrow(_merge_days(k, True), _RESULT), "sketches")
+    hot = found.filter(F.col("metric") >= OF_DAY).withColumn("metric", F.col("metric") - OF_DAY)
+    return found.filter(F.col("metric") < OF_DAY).unionByName(_merged(hot, k, keep=True)).drop("p", "e")
 
 
 def merge_sketches(sketches: DataFrame, k: int = K) -> DataFrame:
     """Percentiles of a project and metric over all given days, from stored day sketches."""
-    parts = sketches.select("project_key", "metric", *_NAMES)
-    return _named(parts.groupBy("project_key", "metric").applyInArrow(_merge_parts(k), _DONE))
+    return _named(_merged(sketches.withColumn("run_day", F.lit(None).cast("date")), k))
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -461,8 +489,10 @@ def percentiles(calibration: DataFrame, k: int = K) -> DataFrame:
     """
     found = written(_sorted_parts(calibration, k).mapInArrow(_merge_days(k, False), _RESULT), "quantiles")
     days = found.filter(F.col("p").isNotNull()).select("project_key", "run_day", "metric", "n", "p", "e")
-    parts = found.filter(F.col("p").isNull()).select("project_key", "metric", *_NAMES)
-    return _named(days.unionByName(parts.groupBy("project_key", "metric").applyInArrow(_merge_parts(k), _DONE)))
+    parts = found.filter(F.col("p").isNull())
+    projects = parts.filter(F.col("metric") < OF_DAY)
+    hot = parts.filter(F.col("metric") >= OF_DAY).withColumn("metric", F.col("metric") - OF_DAY)
+    return _named(days.unionByName(_merged(projects, k)).unionByName(_merged(hot, k)))
 
 
 def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:

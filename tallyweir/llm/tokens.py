@@ -28,6 +28,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Bytes of text whose distinct words are listed together.
 BLOCK_BYTES = 16 << 20
 PIECE_BYTES = 8 << 20
+#: Tasks whose blocks' rows of one word go to one task; more tasks encode the word again.
+WORD_TASKS = 1024
 
 # The pattern that public byte-level BPE vocabularies are made for, and Unicode's White_Space.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -261,7 +263,8 @@ def encode_corpus(documents: DataFrame, path: str = VOCABULARY, block_bytes: int
     lines = share_vocabulary(documents.sparkSession, path)
     blocks = written(block_codes(documents, block_bytes), "codes")
     listed = blocks.filter(F.col("word").isNotNull()).select("word", "block", "code")
-    encoded = listed.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(lines), "block bigint, code int, ids binary")
+    # A frequent word has a row in every block; blocks of a thousand tasks are enough for one task to encode it for.
+    encoded = listed.repartition("word", F.floor(F.shiftright("block", 32) / WORD_TASKS)).sortWithinPartitions("word").mapInArrow(_encode_words(lines), "block bigint, code int, ids binary")
     docs = blocks.filter(F.col("codes").isNotNull()).select("block", "doc_id", "codes")
     return docs.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_reassemble, "doc_id bigint, ids array<int>")
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from datetime import date, datetime
 
 import numpy as np
@@ -113,3 +114,21 @@ def test_empty_and_repeats(spark):
     data += [("p", "m", date(2025, 1, 2), late, [7.0], [], None, None, "x", 1, "x")] * 2
     found = percentiles(spark.createDataFrame(data, SCHEMA)).filter("run_day is not null").collect()
     assert [(r["run_day"], r["metric"], r["n"], r["p50"]) for r in found] == [(date(2025, 1, 2), "function_scores", 2, 7.0)]
+
+
+def test_a_day_with_half_of_all_rows_is_dealt(spark):
+    """The hot day's sketches are made by several tasks and merged; their bounds hold."""
+    rng = random.Random(9)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    data = [("p" if i % 2 else f"q{i % 40}", "m", date(2025, 1, 1 + (0 if i % 2 else i % 20)), T, [rng.lognormvariate(1, 1) for _ in range(30)], [], None, i, "x", 1, "x") for i in range(600)]
+    df = spark.createDataFrame(data, SCHEMA).repartition(4)
+    parts = quantiles._sorted_parts(df, 8).mapInArrow(quantiles._merge_days(8, False), quantiles._RESULT).filter(f"metric >= {quantiles.OF_DAY}").collect()
+    assert len(parts) > 1 and {(r["project_key"], r["run_day"]) for r in parts} == {("p", date(2025, 1, 1))}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    expected = np.array([v for r in data if r[0] == "p" for v in r[4]])
+    for found in (percentiles(df, 8).filter("project_key = 'p'").collect(), merge_sketches(day_sketches(df, 8), 8).filter("project_key = 'p'").collect()):
+        for r in found:
+            assert r["n"] == len(expected)
+            for q in QUANTILES:
+                assert distance(expected, r[f"p{round(q * 100)}"], q) <= r[f"p{round(q * 100)}_rank_error"]
+    assert day_sketches(df, 8).filter("project_key = 'p'").count() == 1

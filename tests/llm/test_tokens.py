@@ -71,3 +71,13 @@ def test_varint_round_trip(lists):
     assert codes.tolist() == [i for x in lists for i in x] and back.tolist() == counts.tolist()
     codes, back = tokens.unpack_varint(packed.slice(len(lists) // 2))
     assert codes.tolist() == [i for x in lists[len(lists) // 2 :] for i in x]
+
+
+def test_words_of_many_tasks_are_salted(spark, monkeypatch):
+    """Half of all words are one word: with a salt a task it is encoded more often, with the same ids."""
+    from tallyweir.llm import tokens
+
+    df = spark.createDataFrame([(i, "the the the cat" if i % 2 else f"dog {i}") for i in range(40)], "doc_id bigint, text string").repartition(4)
+    plain = sorted(tuple(r) for r in tokens.encode_corpus(df).collect())
+    monkeypatch.setattr(tokens, "WORD_TASKS", 1)
+    assert sorted(tuple(r) for r in tokens.encode_corpus(df).collect()) == plain
