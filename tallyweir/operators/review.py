@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +26,15 @@ def finding_ids(findings: DataFrame) -> DataFrame:
     return occurrence(keyed, ["rule_id", "path", "_anchor"], ["line"], "occurrence").withColumn("id", F.concat(F.substring("_anchor", 1, 16), F.lit("-"), "occurrence")).drop("_anchor")
 
 
-def declaration_only(snippet: Column) -> Column:
-    """Whether a snippet only declares: lone braces, attributes, public structs and fields."""
+def declares(line: Column) -> Column:
+    """Whether a stripped line only declares: a lone brace, an attribute, a public struct, a field, or nothing."""
+    field = line.endswith(",") & line.contains(":") & ~line.contains("(")
+    return line.isin("", "{", "}") | line.rlike(r"^(#\[|pub(\(crate\))? struct )") | field
 
-    def declares(line: Column) -> Column:
-        line = F.trim(line)
-        field = line.endswith(",") & line.contains(":") & ~line.contains("(")
-        return line.isin("", "{", "}") | line.rlike(r"^(#\[|pub(\(crate\))? struct )") | field
 
-    return F.forall(F.split(snippet, "\n"), declares)
+def declaration_only(snippet: Column) -> Column:
+    """Whether every line of a snippet only declares."""
+    return F.forall(F.split(snippet, "\n"), lambda line: declares(F.regexp_replace(line, r"(?U)^\s+|\s+$", "")))
 
 
 def semantic_candidates(references: DataFrame, modules: DataFrame) -> DataFrame:
@@ -85,16 +85,31 @@ def propagate_test_code(findings: DataFrame, test_modules: DataFrame) -> DataFra
     return findings.join(hit, (C("package_name") == C("_hp")) & (C("module_key") == C("_hm")), "left").withColumn("test_code", F.coalesce("test_code", F.lit(False)) | C("_hm").isNotNull()).drop("_hp", "_hm")
 
 
-#: Strength of the evidence for a definition's module, the strongest first.
-DEFINITION_RANKS = {"exact": 0, "module_file": 1, "prefix": 2}
+def best_definition(definitions: DataFrame, reference: list[str], modules: DataFrame, local_roots: list[str], target_root: str) -> DataFrame:
+    """The definition of each reference with the strongest evidence, its module and status.
+
+    ``definitions``: the reference, path, position (its place in the answer); ``modules``:
+    path, module_id. A path of an indexed module goes before a generated or unindexed
+    one (or none at all), and that before an external one; of equals the first counts.
+    """
+    def below(path: Column, root: str) -> Column:
+        return (path == root) | path.startswith(root.rstrip("/") + "/")
 
+    own = modules.select(C("path").alias("_m_path"), C("module_id").alias("_m")).dropDuplicates(["_m_path"])
+    rows = definitions.join(own, C("path") == C("_m_path"), "left").drop("_m_path")
+    inside = F.lit(False)
+    for root in local_roots:
+        inside = inside | below(C("path"), root)
+    unmapped = F.when(C("path").isNull() | below(C("path"), target_root), "unmapped_generated_definition").when(inside, "unindexed_project_definition")
+    status = F.when(C("_m").isNotNull(), "resolved_local").otherwise(F.coalesce(unmapped, F.lit("resolved_external")))
+    rank = F.when(C("_m").isNotNull(), 0).when(unmapped.isNotNull(), 1).otherwise(2)
+    best = rows.withColumns({"_status": status, "_rank": rank}).groupBy(*reference).agg(F.min_by(F.struct("_m", "_status"), F.struct("_rank", "position")).alias("d"))
+    return best.select(*reference, C("d._m").alias("target_module_id"), C("d._status").alias("status"))
 
-def best_definition(definitions: DataFrame, reference: list[str]) -> DataFrame:
-    """The definition of each reference with the strongest evidence; ties go to the least module. Without a module it is external, generated or unindexed."""
-    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for p in DEFINITION_RANKS.items() for x in p)), C("evidence")), F.lit(9))
-    best = definitions.groupBy(*reference).agg(F.min_by(F.struct("target_module_id", "evidence", "path"), F.struct(C("target_module_id").isNull(), rank, "target_module_id")).alias("d"))
-    status = F.when(C("d.target_module_id").isNotNull(), "resolved_local").when(C("d.path").contains("/target/"), "unmapped_generated_definition").when(C("d.path").startswith("/") & ~C("d.path").contains("/src/"), "resolved_external").otherwise("unindexed_project_definition")
-    return best.select(*reference, C("d.target_module_id").alias("target_module_id"), status.alias("status"))
+
+def status_histogram(resolved: DataFrame) -> DataFrame:
+    """References by status."""
+    return resolved.groupBy("status").agg(F.count("*").alias("n_references"))
 
 
 def resolve_references(references: DataFrame, declarations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -114,17 +129,26 @@ def resolve_references(references: DataFrame, declarations: DataFrame) -> tuple[
     return edges, joined.filter(~known).select(*references.columns, F.when(C("owner_module").isNull(), "owner").otherwise("target").alias("unresolved"))
 
 
-def practice_summary(checks: DataFrame, diagnostics: DataFrame) -> DataFrame:
-    """One row: checks by status, errors among failed ones, distinct diagnostics, and conformance (no required check failed or unknown)."""
-    distinct = diagnostics.select(F.struct("rule_id", "severity", "path", "line", "message").alias("d")).distinct().count()
-    n = lambda s: F.count_if(C("status") == s)
-    bad = (C("severity") == "error") & ~C("status").isin("passed", "skipped")
-    return checks.agg(F.count("*").alias("n_checks"), n("passed").alias("passed"), n("failed").alias("failed"), n("unavailable").alias("unavailable"), n("skipped").alias("skipped"), F.count_if(bad).alias("n_errors")).withColumns({"n_diagnostics": F.lit(distinct), "conforms": C("n_errors") == 0})
+def practice_summary(checks: DataFrame, diagnostics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Of each key (or all): checks by status, failed ones by severity, distinct diagnostics, and whether it conforms.
+
+    A check that timed out is unavailable as well. Diagnostics are equal by rule,
+    message, path, line and column. It conforms if no check failed as an error, none is
+    unavailable, and no metric is incomplete (``incomplete`` of the check).
+    """
+    n = lambda *s: F.count_if(C("status").isin(*s))
+    failed = lambda severity: F.count_if((C("status") == "failed") & (C("severity") == severity))
+    one = F.lit(1).alias("_one")
+    own = checks.groupBy(*keys, one).agg(F.count("*").alias("check_count"), n("passed").alias("passed"), failed("error").alias("failed_errors"), failed("warning").alias("failed_warnings"), n("unavailable", "timed-out").alias("unavailable"), n("skipped").alias("skipped"), F.count_if("incomplete").alias("_incomplete"))
+    distinct = diagnostics.select(*keys, F.struct("rule_id", "message", "path", "line", "column").alias("_d")).distinct().groupBy(*(C(k).alias(f"_k_{k}") for k in keys), F.lit(1).alias("_also")).agg(F.count("*").alias("_n"))
+    joined = own.join(distinct, null_safe([("_one", "_also"), *((k, f"_k_{k}") for k in keys)]), "left")
+    conforms = (C("failed_errors") == 0) & (C("unavailable") == 0) & (C("_incomplete") == 0)
+    return joined.select(*keys, "check_count", F.coalesce("_n", F.lit(0)).alias("diagnostic_count"), "passed", "failed_errors", "failed_warnings", "unavailable", "skipped", conforms.alias("conformant"))
 
 
 def coverage_change(current: Column, baseline: Column, allowed: float) -> Column:
-    """regressed beyond the allowed decrease, improved, unchanged; unknown if a side is."""
-    drop = baseline - current
+    """regressed beyond the allowed decrease (to two decimals), improved, unchanged; unknown if a side is."""
+    drop = round2(baseline - current)
     return F.when(drop.isNull(), "unknown").when(drop > allowed, "regressed").when(drop < 0, "improved").otherwise("unchanged")
 
 

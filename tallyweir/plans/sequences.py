@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import FNV_BASIS, FNV_BASIS_ARTIFACT, anchor, fnv1a64, is_defect_subject, layer, outcome_kinds, path_module_key, safe_name, title, version_triple
+from ..functions.text import FNV_BASIS, FNV_BASIS_ARTIFACT, KEYWORDS, TOKEN, anchor, fnv1a64, is_defect_subject, layer, outcome_kinds, path_module_key, safe_name, title, version_triple
 from ..operators import clones as C
 from ..operators.ranking import ranked, ranking_metrics
 from ..operators.windows import carry_forward, group_numbers, islands, occurrence
+from ..sources.rust_text import functions_of, functions_sql
 from ..tables import load
 from .measures import _R2, _modules
 from .relations import _OWN_SQL
@@ -18,18 +19,37 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").filter(F.col("source") == "source_file").select("doc_id", "text")
 
 
+def source_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of the source files by their lines alone, with pressure counts and complexities."""
+    return functions_of(_sources(spark, sf_dir), "doc_id", "text")
+
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 50 normalised tokens inside functions of source files."""
+    files = _sources(spark, sf_dir)
+    return C.within_functions(C.file_windows(files, "doc_id", "text"), "doc_id", source_functions(spark, sf_dir))
+
+
 def token_clone_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of 50 normalised tokens that occur more than once among source files."""
-    return C.window_groups(C.file_windows(_sources(spark, sf_dir), "doc_id", "text"), "doc_id")
+    """Windows of 50 normalised tokens inside functions that occur more than once among source files."""
+    return C.window_groups(_windows(spark, sf_dir), "doc_id")
 
 
 def clone_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disjoint instances of each repeated window, chosen greedily."""
-    return C.disjoint_instances(C.file_windows(_sources(spark, sf_dir), "doc_id", "text"), "doc_id")
+    return C.disjoint_instances(_windows(spark, sf_dir), "doc_id").drop("at")
 
 
 def clone_groups_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.coalesce_groups(clone_instances(spark, sf_dir), "doc_id")
+    files = _sources(spark, sf_dir)
+    return C.coalesce_groups(C.disjoint_instances(_windows(spark, sf_dir), "doc_id"), "doc_id", files, "text")
+
+
+def clone_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records, duplicated nonblank lines and their share of all source lines."""
+    files = _sources(spark, sf_dir)
+    rows, instances = C.clone_rows(clone_groups_coalesced(spark, sf_dir), "doc_id", files, "text")
+    return C.clone_summary(rows, instances, "doc_id", files, "text")
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,10 +59,10 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each source file covered by any repeated window, counted once."""
-    windows = C.file_windows(_sources(spark, sf_dir), "doc_id", "text")
-    repeated = windows.join(C.window_groups(windows, "doc_id").select("window_hash"), "window_hash", "left_semi")
-    return C.duplicated_lines(repeated, "doc_id", "first_line", "last_line")
+    """Nonblank lines of each source file covered by any repeated window inside a function, counted once."""
+    windows = _windows(spark, sf_dir)
+    repeated = windows.join(C.window_groups(windows, "doc_id").select("window_hash"), "window_hash", "left_semi").select("doc_id", "first_line", "last_line").distinct()
+    return C.duplicated_lines(C.with_line_counts(repeated, "doc_id", _sources(spark, sf_dir), "text"), "doc_id")
 
 
 def equal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,21 +132,30 @@ def fnv_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    token_clone_groups, clone_instances, clone_groups_coalesced, duplicated_lines, equal_texts, responsibility_groups, line_islands, running_headers, line_occurrences, subject_outcomes, path_names, latest_versions, rank_validation, fnv_names,
+    source_functions, token_clone_groups, clone_instances, clone_groups_coalesced, clone_summary, duplicated_lines, equal_texts, responsibility_groups, line_islands, running_headers, line_occurrences, subject_outcomes, path_names, latest_versions, rank_validation, fnv_names,
 )}
 
-_TOKENS_SQL = r"""
+_WORDS_SQL = ",".join(f"'{w}'" for w in KEYWORDS)
+_TOKENS_SQL = rf"""{functions_sql("documents", "doc_id", "text").replace("from documents where", "from documents where source = 'source_file' and")},
 f as (select doc_id, text from documents where source = 'source_file' and text is not null),
 ln as (select doc_id, unnest(string_split(text, chr(10))) c, unnest(range(1, len(string_split(text, chr(10))) + 1)) l from f),
-tk as (select doc_id, l, unnest(regexp_extract_all(c, '[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+|::|->|=>|==|!=|<=|>=|&&|\|\||[{}()\[\];,.:+\-*/%&|^!<>=?]')) t, unnest(range(len(regexp_extract_all(c, '[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+|::|->|=>|==|!=|<=|>=|&&|\|\||[{}()\[\];,.:+\-*/%&|^!<>=?]')))) i from ln),
-nt as (select doc_id, l, row_number() over (partition by doc_id order by l, i) p, case when t in ('fn','let','pub','struct','enum','impl','if','match','for','while','loop','use','mod','return','Self','self') then t when regexp_matches(t, '^[0-9]+$') then 'LIT' when regexp_matches(t, '^[A-Za-z_]') then 'ID' else t end t from tk),
+tk as (select doc_id, l, unnest(regexp_extract_all(c, '{TOKEN}')) t, unnest(range(len(regexp_extract_all(c, '{TOKEN}')))) i from ln),
+nt as (select doc_id, l, row_number() over (partition by doc_id order by l, i) p, case when t in ({_WORDS_SQL}) then t when regexp_matches(t, '^[0-9]+$') then 'LIT' when regexp_matches(t, '^[A-Za-z_]') then 'ID' else t end t from tk),
 w as (select doc_id, p - 1 as at_, md5(string_agg(t, '|') over x) window_hash, l first_line, max(l) over x last_line, count(*) over x n from nt window x as (partition by doc_id order by p rows between current row and 49 following)),
-win as (select * from w where n = 50 and last_line - first_line + 1 >= 3),
+win as (select * from w where n = 50 and last_line - first_line + 1 >= 3 and exists (select 1 from rfn where rfn.doc_id = w.doc_id and start_line <= first_line and last_line <= end_line)),
 grp as (select window_hash, count(*) n_windows, count(distinct doc_id) n_files, max(last_line - first_line + 1) span, 5.0::double * count(*) score from win group by 1 having count(*) >= 2)"""
 _WS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SQL = {
     "token_clone_groups": f"with {_TOKENS_SQL} select * from grp",
-    "duplicated_lines": f"with {_TOKENS_SQL} select doc_id, count(distinct l)::bigint n_lines from (select doc_id, unnest(range(first_line, last_line + 1)) l from win join grp using (window_hash)) group by 1",
+    "source_functions": f"with {_TOKENS_SQL} select * from rfn",
+    "clone_instances": f"""
+with recursive {_TOKENS_SQL}, rep as (select window_hash, doc_id, min({{'s': first_line, 'e': last_line}}) x from win join grp using (window_hash) group by all),
+pick as (
+  select window_hash, doc_id, x from rep
+  union all
+  select win.window_hash, win.doc_id, min({{'s': first_line, 'e': last_line}}) x from pick join win on win.window_hash = pick.window_hash and win.doc_id = pick.doc_id and first_line > pick.x.e group by 1, 2
+) select doc_id, window_hash, x.s first_line, x.e last_line from pick where window_hash in (select window_hash from pick group by 1 having count(*) >= 2)""",
+    "duplicated_lines": f"with {_TOKENS_SQL} select doc_id, count(distinct l) n_lines from (select doc_id, unnest(range(first_line, last_line + 1)) l from win join grp using (window_hash)) join ln using (doc_id, l) where trim(regexp_replace(c, '{_WS}+', ' ', 'g')) <> '' group by 1",
     "equal_texts": f"""
 select body, count(*) n, count(distinct doc_id) n_files, max(e) span, count(*) * max(e) * 1.5::double score
 from (select doc_id, md5(trim(regexp_replace(text, '{_WS}+', ' ', 'g'))) body, len(string_split(text, chr(10))) e from documents where text is not null) group by 1 having count(*) >= 2 and max(e) >= 5""",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 from datetime import date, datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from tallyweir.functions import text as X
 from tallyweir.functions.numeric import at_least, at_most, band, bucket_count, capped_sum, clamp, delta_percent, minus_floor, over_free, percent, ratio, round2
 from tallyweir.operators import clones, evidence, joins, ranking, sets, stats, windows
 from tallyweir.operators import graph as G
+from tallyweir.sources.rust_text import functions_of
 
 from .conftest import same
 
@@ -225,7 +228,66 @@ def test_clones(spark):
     for a in picked:
         for b in picked:
             assert a is b or (a["window_hash"], a["f"]) != (b["window_hash"], b["f"]) or a["last_line"] < b["first_line"] or b["last_line"] < a["first_line"]
-    spans = [("h1", "a", 1, 6), ("h1", "b", 11, 16), ("h2", "a", 3, 9), ("h2", "b", 13, 19), ("h3", "a", 50, 55), ("h3", "b", 60, 65), ("h4", "a", 56, 60), ("h4", "b", 90, 95)]
-    merged = clones.coalesce_groups(spark.createDataFrame(spans, "window_hash string, f string, first_line bigint, last_line bigint"), "f")
-    same(merged, [("h1", "a", 1, 9), ("h1", "b", 11, 19), ("h3", "a", 50, 55), ("h3", "b", 60, 65), ("h4", "a", 56, 60), ("h4", "b", 90, 95)], ["group_id", "file", "first_line", "last_line"])
-    same(clones.duplicated_lines(spark.createDataFrame([("a", 1, 5), ("a", 3, 8), ("a", 20, 20), ("a", 2, 4)], "f string, s bigint, e bigint"), "f", "s", "e"), [("a", 9)], ["f", "n_lines"])
+    lines = clones.with_line_counts(spark.createDataFrame([("a", 1, 3), ("a", 2, 4), ("b", 1, 2)], "f string, first_line bigint, last_line bigint"), "f", spark.createDataFrame([("a", "x();\n\t \n#[y]\nz();\n"), ("b", "pub struct A {\n  n: u8,\r\n}")], "f string, t string"), "t")
+    same(lines, [("a", 1, [1, 3], True), ("a", 2, [3, 4], True), ("b", 1, [1, 2], False)], ["f", "first_line", "nonblank", "code"])
+    same(clones.duplicated_lines(lines, "f"), [("a", 3), ("b", 2)], ["f", "n_lines"])
+
+
+def test_an_existing_group_absorbs_the_next_in_key_order():
+    """In key order 1-3, 7-9, 4-6: the last is absorbed by the first group it meets, and 7-9 stays."""
+    kept, s, e = clones.absorb(np.array([[1, 7, 4], [11, 17, 14]]), np.array([[3, 9, 6], [13, 19, 16]]))
+    assert (kept.tolist(), s.tolist(), e.tolist()) == ([0, 1], [[1, 7], [11, 17]], [[6, 9], [16, 19]])
+
+
+def coalesced(texts: dict[str, str]) -> set:
+    """Token clones one after another: windows by key, disjoint instances, the first group that overlaps place by place absorbs."""
+    windows: dict[str, list] = {}
+    for f, text in texts.items():
+        tokens, lines = clones.normal_tokens(text)
+        for k in range(len(tokens) - 49):
+            if lines[k + 49] - lines[k] >= 2:
+                windows.setdefault("|".join(tokens[k : k + 50]), []).append((f, lines[k], lines[k + 49]))
+    groups: list[tuple[str, list]] = []
+    for key in sorted(windows):
+        picked, last = [], {}
+        for f, s, e in sorted(windows[key]):
+            if s > last.get(f, 0):
+                last[f] = e
+                picked.append([f, s, e])
+        if len(picked) < 2:
+            continue
+        for _, old in groups:
+            if len(old) == len(picked) and all(a[0] == b[0] and a[1] <= b[2] + 1 and b[1] <= a[2] + 1 for a, b in zip(old, picked)):
+                for a, b in zip(old, picked):
+                    a[1], a[2] = min(a[1], b[1]), max(a[2], b[2])
+                break
+        else:
+            groups.append((key, picked))
+    return {(hashlib.md5(key.encode()).hexdigest(), *i) for key, instances in groups for i in instances}
+
+
+def test_coalescing_against_one_after_another(spark):
+    rng = random.Random(4)
+    parts = ["\n".join(f"let v{rng.randint(0, 3)} = f{i} ( {rng.randint(0, 9)} , x ) + {'y' * (rng.random() < 0.5)} ;" for _ in range(14)) for i in range(3)]
+    license = "\n".join("// a b c d e f g h ; i , j" for _ in range(12))
+    texts = {f"f{k}": "\n".join([license, *([] if k % 2 else ["", "gap ;"]), *(rng.choice(parts) for _ in range(3))]) for k in range(6)}
+    files = spark.createDataFrame(list(texts.items()), "f string, t string")
+    instances = clones.disjoint_instances(clones.file_windows(files, "f", "t"), "f")
+    expected = coalesced(texts)
+    assert len(expected) > 20
+    same(clones.coalesce_groups(instances, "f", files, "t"), sorted(expected), ["group_id", "f", "first_line", "last_line"])
+
+
+def test_clones_lie_in_functions_and_blank_lines_do_not_count(spark):
+    body = "\n".join(["    let a = foo ( 1 , b ) + c ;", ""] * 12)
+    outside = "\n".join("use a :: b :: { c , d } ;" for _ in range(12))
+    files = spark.createDataFrame([(f, f"{outside}\npub fn {f}(x: u8) -> u8 {{\n{body}\n}}\n") for f in ("one", "two")], "f string, t string")
+    spans = functions_of(files, "f", "t")
+    same(spans, [("one", "one", 13, 38, 14, 0, 0), ("two", "two", 13, 38, 14, 0, 0)], ["f", "qualified_name", "start_line", "end_line", "source_line_count", "branch_pressure", "max_nesting_depth"])
+    inside = clones.within_functions(clones.file_windows(files, "f", "t"), "f", spans)
+    assert inside.filter("first_line < 13 or last_line > 38").count() == 0
+    rows, instances = clones.clone_rows(clones.coalesce_groups(clones.disjoint_instances(inside, "f"), "f", files, "t"), "f", files, "t")
+    assert rows.filter("file_count = 2").count() > 0
+    summary = clones.clone_summary(rows, instances, "f", files, "t").first().asDict()
+    assert summary["source_nonblank_line_count"] == 52 and 0 < summary["duplicated_line_count"] <= 28
+    assert summary["duplication_percent"] == round(100 * summary["duplicated_line_count"] / 52, 2)

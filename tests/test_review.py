@@ -34,8 +34,13 @@ def test_targets_and_test_code(spark):
 
 
 def test_definitions_and_references(spark):
-    d = spark.createDataFrame([(1, "m2", "prefix", "x"), (1, "m1", "exact", "x"), (2, None, None, "/home/target/gen.rs"), (3, None, None, "/rustc/lib/vec.rs"), (4, None, None, "src/a.rs"), (5, "b", "exact", "x"), (5, "a", "exact", "x")], "ref int, target_module_id string, evidence string, path string")
-    same(R.best_definition(d, ["ref"]), [(1, "m1", "resolved_local"), (2, None, "unmapped_generated_definition"), (3, None, "resolved_external"), (4, None, "unindexed_project_definition"), (5, "a", "resolved_local")], ["ref", "target_module_id", "status"])
+    places = [(1, "/usr/lib/vec.rs", 0), (1, "/w/src/a.rs", 1), (1, "/w/src/b.rs", 2), (2, "/usr/lib/vec.rs", 0), (2, "/w/target/gen.rs", 1), (3, "/usr/lib/vec.rs", 0), (4, "/usr/x.rs", 0), (4, "/w/src/lost.rs", 1), (5, None, 0), (6, "/w/targets.rs", 0), (7, "/w/src/b.rs", 0)]
+    d = spark.createDataFrame(places, "ref int, path string, position int")
+    modules = spark.createDataFrame([("/w/src/a.rs", "a"), ("/w/src/b.rs", "b")], "path string, module_id string")
+    found = R.best_definition(d, ["ref"], modules, ["/w"], "/w/target")
+    expected = [(1, "a", "resolved_local"), (2, None, "unmapped_generated_definition"), (3, None, "resolved_external"), (4, None, "unindexed_project_definition"), (5, None, "unmapped_generated_definition"), (6, None, "unindexed_project_definition"), (7, "b", "resolved_local")]
+    same(found, expected, ["ref", "target_module_id", "status"])
+    same(R.status_histogram(found), [("resolved_local", 2), ("unmapped_generated_definition", 2), ("resolved_external", 1), ("unindexed_project_definition", 2)], ["status", "n_references"])
     refs = spark.createDataFrame([("c", "o", "t"), ("c", "o", "twice"), ("c", "gone", "t"), ("c", "o", "o")], "context string, owner string, target string")
     decl = spark.createDataFrame([("c", "o", "m"), ("c", "t", "n"), ("c", "twice", "m"), ("c", "twice", "n"), ("d", "gone", "m")], "context string, id string, module string")
     edges, open_ = R.resolve_references(refs, decl)
@@ -44,9 +49,10 @@ def test_definitions_and_references(spark):
 
 
 def test_summaries(spark):
-    checks = spark.createDataFrame([("passed", "error"), ("failed", "warning"), ("skipped", "error"), ("unavailable", "error")], "status string, severity string")
-    diag = spark.createDataFrame([("r", "error", "p", 1, "m")] * 2 + [("r", "error", "p", 2, "m")], "rule_id string, severity string, path string, line bigint, message string")
-    assert tuple(R.practice_summary(checks, diag).first()) == (4, 1, 1, 1, 1, 1, 2, False)
+    checks = spark.createDataFrame([("a", "passed", "error", False), ("a", "failed", "warning", None), ("a", "skipped", "error", False), ("a", "timed-out", "error", False), ("b", "failed", "error", False), ("c", "passed", "error", True), ("d", "passed", "error", None)], "k string, status string, severity string, incomplete boolean")
+    diag = spark.createDataFrame([("a", "r", "m", "p", 1, 1)] * 2 + [("a", "r", "m", "p", 1, 2), ("a", "r", "m", "p", None, None), ("b", "r", "m", "p", 1, 1)], "k string, rule_id string, message string, path string, line bigint, column bigint")
+    assert tuple(R.practice_summary(checks, diag).first()) == (7, 3, 3, 1, 1, 1, 1, False)
+    same(R.practice_summary(checks, diag, ["k"]), [("a", 4, 3, 1, 0, 1, 1, 1, False), ("b", 1, 1, 0, 1, 0, 0, 0, False), ("c", 1, 0, 1, 0, 0, 0, 0, False), ("d", 1, 0, 1, 0, 0, 0, 0, True)], ["k", "check_count", "diagnostic_count", "passed", "failed_errors", "failed_warnings", "unavailable", "skipped", "conformant"])
     value = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
     assert [value(R.coverage_change(F.lit(c).cast("double"), F.lit(80.0), 1.0)) for c in (78.0, 79.5, 81.0, None)] == ["regressed", "unchanged", "improved", "unknown"]
     ranges = spark.createDataFrame([("a", 1, 5), ("a", 3, 9), ("b", None, None)], "path string, start_line bigint, end_line bigint")
