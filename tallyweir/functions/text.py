@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Layers by any lower-case path segment (the first that matches counts), their ranks and colours.
+# Layers by any lower-case path segment (the first that matches counts), and their ranks.
 LAYERS = {
     "Interface": ["api", "cli", "controller", "controllers", "handler", "handlers", "http", "route", "routes", "ui", "web"],
     "Application": ["app", "application", "command", "commands", "service", "services", "use_case", "use_cases", "workflow", "workflows"],
@@ -77,6 +78,11 @@ def layer(path: Column) -> Column:
     return found.when(path.isNotNull(), "Unclassified")
 
 
+def module_layer(module_key: Column, is_entrypoint: Column) -> Column:
+    """The layer of a module by its readable key; entrypoints are a layer of their own."""
+    return F.when(F.coalesce(is_entrypoint, F.lit(False)), "Entrypoint").otherwise(layer(module_key))
+
+
 def layer_rank(name: Column) -> Column:
     ranks = F.create_map(*(F.lit(x) for pair in LAYER_RANKS.items() for x in pair))
     return F.try_element_at(ranks, name)
@@ -183,15 +189,18 @@ def fnv1a64(basis: int = FNV_BASIS):
 
     @F.pandas_udf(StringType())
     def run(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str | None:
-            if text is None:
-                return None
-            h = basis
-            for b in text.encode():
-                h = ((h ^ b) * FNV_PRIME) & 0xFFFFFFFFFFFFFFFF
-            return f"{h:016x}"
-
-        return texts.map(one, na_action="ignore")
+        known = texts.notna().to_numpy()
+        data = [t.encode() for t in texts[known]]
+        lengths = np.array([len(d) for d in data], np.int64)
+        flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
+        starts = np.cumsum(lengths) - lengths
+        h = np.full(len(data), basis, np.uint64)
+        for k in range(int(lengths.max(initial=0))):  # byte k of all texts at once
+            own = np.flatnonzero(lengths > k)
+            h[own] = (h[own] ^ flat[starts[own] + k]) * np.uint64(FNV_PRIME)
+        out = np.full(len(texts), None, object)
+        out[known] = [f"{x:016x}" for x in h.tolist()]
+        return pd.Series(out)
 
     return run
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.numeric import band, minus_floor, percent, ratio, round2
-from ..functions.text import is_test_module, is_test_path, layer
+from ..functions.text import is_test_module, is_test_path, module_layer
 from ..operators.graph import components, cycle_members, degrees, layer_violations
 from ..operators.joins import guarded_join, metric_or_default, null_safe, range_counts
 from ..operators.ranking import ranked, ranking_metrics
@@ -142,7 +142,7 @@ def topology(files: DataFrame, edges: DataFrame) -> DataFrame:
     own = degrees(files.select("module_id", "module_key", F.coalesce("is_entrypoint", F.lit(False)).alias("is_entrypoint")), "module_id", edges)
     out, into, entry = C("outbound"), C("inbound"), C("is_entrypoint")
     risk = S.locality_risk(out, into, entry)
-    return own.withColumns({"layer": layer(C("module_id")), "locality_risk": risk, "locality_score": round2(100.0 - risk), "leverage_pressure": S.leverage_pressure(out, into, entry), "leverage_score": S.reuse(into), "signals": F.when(risk > 0, "dependency spread").when(entry, "entrypoint orchestration").otherwise("stable")})
+    return own.withColumns({"layer": module_layer(C("module_key"), entry), "locality_risk": risk, "locality_score": round2(100.0 - risk), "leverage_pressure": S.leverage_pressure(out, into, entry), "leverage_score": S.reuse(into), "signals": F.when(risk > 0, "dependency spread").when(entry, "entrypoint orchestration").otherwise("stable")})
 
 
 def correctness_counts(tests: DataFrame) -> DataFrame:
@@ -261,8 +261,7 @@ def module_cohesion(files: DataFrame, kinds: DataFrame, churn: DataFrame) -> Dat
     """
     own = files.filter("source_metrics_available").select("module_id", "path", "function_count", "public_api_count")
     rows = own.join(kinds.withColumnRenamed("module_id", "_k"), C("module_id") == C("_k"), "left").join(churn.withColumnRenamed("path", "_p"), C("path") == C("_p"), "left").fillna(0, ["n_types", "n_impls", "churn"])
-    whole = churn.agg(F.sum("churn")).first()[0] or 0
-    rows = rows.withColumn("_whole", F.lit(whole).cast("double"))
+    rows = rows.crossJoin(churn.agg(F.coalesce(F.sum("churn"), F.lit(0)).cast("double").alias("_whole")))  # one row
     n = reduce(lambda a, b: a + b, [(C(c) > 0).cast("int") for c in ("function_count", "n_types", "n_impls", "public_api_count")])
     focus = round2(F.greatest(1.0 - minus_floor(n, 1) / 3.0, F.lit(0.0)) * 100)
     share = ratio(C("churn"), C("_whole"))
@@ -299,8 +298,8 @@ def changed_scope(rows: DataFrame, changed: DataFrame, columns: Sequence[str] =
     key = [*(C(c) for c in columns)]
     paths = F.array_compact(F.array(*key)) if instances is None else F.concat(F.array_compact(F.array(*key)), F.coalesce(F.transform(instances, lambda x: x["path"]), F.array().cast("array<string>")))
     own = rows.withColumn("_paths", F.array_distinct(paths)).withColumn("_row", F.xxhash64("_paths"))
-    touched = own.select("_row", "_paths").dropDuplicates(["_row"]).select("_row", F.explode("_paths").alias("_p")).join(changed.select(C("path").alias("_c")).distinct(), C("_p") == C("_c"), "left_semi").select("_row").distinct()
-    return own.join(touched, "_row", "left_semi").drop("_paths", "_row")
+    touched = own.select("_row", "_paths").distinct().select("_row", "_paths", F.explode("_paths").alias("_p")).join(changed.select(C("path").alias("_c")).distinct(), C("_p") == C("_c"), "left_semi").select("_row", "_paths").distinct()
+    return own.join(touched, ["_row", "_paths"], "left_semi").drop("_paths", "_row")
 
 
 def gate(failures: dict[str, DataFrame]) -> list[str]:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import band, delta_percent, percent, round2
 from ..functions.scores import crap
-from ..functions.text import layer, last_segment, module_key
+from ..functions.text import last_segment, module_key, module_layer
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators.evidence import first_per_key
 from ..operators.sets import snapshot_sets
-from ..operators.stats import association, exact_sum
+from ..operators.stats import association, concentration, exact_sum
 from ..operators.windows import two_windows
 from ..tables import last_delivery, load
 from .measures import _COMMITS_SQL, _R2, _commits, _modules
@@ -111,16 +111,24 @@ def guarded_impls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("outcome").agg(F.count("*").alias("n"), F.count_if("same").alias("n_same"))
 
 
-def cochange_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of modules in commits of the last 90 days: support, conditional rates and lift.
+MOST_MODULES = 50
 
-    Commits of more than 50 modules are left out (and counted elsewhere), which bounds a
-    commit's pairs. Merges don't count.
-    """
+
+def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits that are no merges with modules, by window of 90 days before the repository's head: recent or previous; ``large`` beyond 50 modules."""
     own = _commits(spark, sf_dir).filter(~F.coalesce("is_merge", F.lit(False)) & (F.size("modules") > 0))
     end = own.groupBy("repo_key").agg(F.max("committed_at").alias("head")).withColumnRenamed("repo_key", "_r")
-    recent = own.join(end, F.col("repo_key") == F.col("_r")).filter(two_windows(F.col("committed_at"), F.col("head"), "90 days") == "recent").filter(F.size("modules") <= 50)
-    recent = recent.select("repo_key", F.array_sort("modules").alias("m"))
+    placed = own.join(end, F.col("repo_key") == F.col("_r")).withColumn("window", two_windows(F.col("committed_at"), F.col("head"), "90 days"))
+    return placed.filter(F.col("window").isNotNull()).withColumn("large", F.size("modules") > MOST_MODULES)
+
+
+def cochange_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of modules in commits of the last 90 days: support, conditional rates, lift, and whether either depends on the other.
+
+    Commits of more than 50 modules are left out, which bounds a commit's pairs;
+    maintenance_windows counts them. Merges don't count.
+    """
+    recent = _windows(spark, sf_dir).filter((F.col("window") == "recent") & ~F.col("large")).select("repo_key", F.array_sort("modules").alias("m"))
     n = recent.groupBy(F.col("repo_key").alias("_n_repo")).agg(F.count("*").alias("eligible"))
     single = recent.select("repo_key", F.explode("m").alias("a")).groupBy("repo_key", "a").agg(F.count("*").alias("n"))
     pair = F.flatten(F.transform("m", lambda a, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
@@ -128,7 +136,25 @@ def cochange_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = single.withColumnsRenamed({"repo_key": "_ra", "a": "_a", "n": "n_a"})
     b = single.withColumnsRenamed({"repo_key": "_rb", "a": "_b", "n": "n_b"})
     joined = pairs.join(a, (F.col("repo_key") == F.col("_ra")) & (F.col("a") == F.col("_a"))).join(b, (F.col("repo_key") == F.col("_rb")) & (F.col("b") == F.col("_b"))).join(n, F.col("repo_key") == F.col("_n_repo"))
-    return joined.select("repo_key", F.col("a").alias("module_a"), F.col("b").alias("module_b"), "n_ab", *association(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("eligible")))
+    either = _module_edges(spark, sf_dir).select(F.least("src", "dst").alias("_lo"), F.greatest("src", "dst").alias("_hi")).distinct()
+    joined = joined.join(either, (F.col("a") == F.col("_lo")) & (F.col("b") == F.col("_hi")), "left")
+    return joined.select("repo_key", F.col("a").alias("module_a"), F.col("b").alias("module_b"), "n_ab", *association(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("eligible")), F.col("_lo").isNotNull().alias("observed_static_dependency"))
+
+
+def maintenance_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits of each repository and window: eligible, excluded as large, and modules a commit."""
+    n = F.when(~F.col("large"), F.size("modules"))
+    return _windows(spark, sf_dir).groupBy("repo_key", "window").agg(F.count(n).alias("eligible_commits"), F.count_if("large").alias("excluded_large_commits"), round2(F.avg(n)).alias("mean_modules"), F.median(n).alias("median_modules"), F.max(n).cast("bigint").alias("max_modules"))
+
+
+def previous_owner_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The primary author of each module in the previous window, and whether and when the recent one saw them last."""
+    own = _windows(spark, sf_dir).filter(~F.col("large") & F.col("author").isNotNull())
+    touched = own.filter(F.col("window") == "previous").select("repo_key", "author", F.explode("modules").alias("module_id"))
+    primary = concentration(touched, ["repo_key", "module_id"], "author").select("repo_key", "module_id", F.col("primary").alias("previous_primary_author"))
+    seen = own.filter(F.col("window") == "recent").groupBy(F.col("repo_key").alias("_r"), F.col("author").alias("_a")).agg(F.max("committed_at").alias("last_recent_commit"))
+    joined = primary.join(seen, (F.col("repo_key") == F.col("_r")) & (F.col("previous_primary_author") == F.col("_a")), "left")
+    return joined.select("repo_key", "module_id", "previous_primary_author", F.col("_a").isNotNull().alias("observed_recently"), "last_recent_commit")
 
 
 def two_window_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,12 +200,26 @@ def module_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.components(_module_edges(spark, sf_dir))
 
 
+def module_components_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """module_components by rounds of joins, as graphs of more than TASK_EDGES edges are solved."""
+    return G.components(_module_edges(spark, sf_dir), task_edges=0)
+
+
+def nation_cycles_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation_cycles by rounds of joins, as graphs of more than TASK_EDGES edges are solved."""
+    return G.cycle_members(_trade(spark, sf_dir), task_edges=0)
+
+
 def nation_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations in cycles of trade from customer to supplier."""
+    return G.cycle_members(_trade(spark, sf_dir))
+
+
+def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct edges from the nation of a customer to that of a supplier."""
     o, c, i, s = (load(spark, sf_dir, t) for t in ("orders", "customer", "lineitem", "supplier"))
     trade = i.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    edges = trade.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
-    return G.cycle_members(edges)
+    return trade.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
 
 
 def layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +228,7 @@ def layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def module_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _modules(spark, sf_dir)
-    return own.groupBy(layer(F.col("module_id")).alias("layer")).agg(F.count("*").alias("n_modules"))
+    return own.groupBy(module_layer(F.col("module_key"), F.col("is_entrypoint")).alias("layer")).agg(F.count("*").alias("n_modules"))
 
 
 def scope_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +252,7 @@ def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     coalesced_key_metric, range_join_coverage, changed_range_semi, interval_containment, baseline_full_outer, score_deltas, longest_prefix_match, suffix_label_match, first_match_priority, exactly_one_resolution,
-    guarded_impls, cochange_windows, two_window_activity, snapshot_dispositions, module_edges, module_degrees, module_cycles, module_components, nation_cycles, layer_violations, module_layers, scope_trees, rule_violations,
+    guarded_impls, cochange_windows, maintenance_windows, previous_owner_activity, two_window_activity, snapshot_dispositions, module_edges, module_degrees, module_cycles, module_components, module_components_distributed, nation_cycles, nation_cycles_distributed, layer_violations, module_layers, scope_trees, rule_violations,
 )}
 
 _DAY = lambda c: f"({c}::date - date '1970-01-01')"
@@ -224,6 +264,9 @@ _LAYER_SQL = lambda c: f"""case when list_has_any(regexp_split_to_array(lower({c
   when list_has_any(regexp_split_to_array(lower({c}), '/|::'), ['core','domain','entity','entities','model','models']) then 'Domain'
   when list_has_any(regexp_split_to_array(lower({c}), '/|::'), ['adapter','adapters','database','db','file','fs','infra','infrastructure','io','persistence','repository','storage']) then 'Infrastructure'
   when list_has_any(regexp_split_to_array(lower({c}), '/|::'), ['spec','specs','test','tests']) then 'Tests' else 'Unclassified' end"""
+_WINDOWS_SQL = """
+wc as (select * from cm where not coalesce(is_merge, false) and len(modules) > 0), wh as (select repo_key, max(committed_at) head from wc group by 1),
+wi as (select wc.*, case when committed_at > head - interval 90 days then 'recent' else 'previous' end win from wc join wh on wh.repo_key = wc.repo_key where committed_at > head - interval 180 days)"""
 _REACH_SQL = "reach as (select src, dst from e union select r.src, e.dst from reach r join e on r.dst = e.src)"
 SQL = {
     "coalesced_key_metric": f"""
@@ -264,12 +307,20 @@ s as (select project_key, module_key mk, array_to_string(list_slice(string_split
 j as (select case when n = 1 then 'joined' when n > 1 then 'ambiguous' else 'unresolved' end outcome, n = 1 and id = mk same from s left join k on k.project_key = s.project_key and k.module_key = readable)
 select outcome, count(*) n, count(*) filter (where same) n_same from j group by 1""",
     "cochange_windows": f"""
-with {_COMMITS_SQL}, c as (select * from cm where not coalesce(is_merge, false) and len(modules) > 0), h as (select repo_key, max(committed_at) head from c group by 1),
-r as (select hash, c.repo_key, modules from c join h on h.repo_key = c.repo_key where committed_at > head - interval 90 days and len(modules) <= 50),
+with {_COMMITS_SQL}, {_WINDOWS_SQL}, {_EDGES_SQL}, r as (select hash, repo_key, modules from wi where win = 'recent' and len(modules) <= 50),
 i as (select hash, repo_key, unnest(modules) m from r), s as (select repo_key, m, count(*) n from i group by all), n as (select repo_key, count(*) e from r group by 1),
 p as (select a.repo_key, a.m ma, b.m mb, count(*) n_ab from i a join i b on a.hash = b.hash and a.m < b.m group by all having count(*) >= 2)
-select p.repo_key, ma module_a, mb module_b, n_ab, {_R2('100.0::double * n_ab / e')} support, {_R2('100.0::double * n_ab / sa.n')} b_given_a, {_R2('100.0::double * n_ab / sb.n')} a_given_b, {_R2('n_ab::double * e / (sa.n::double * sb.n)')} lift
-from p join s sa on sa.repo_key = p.repo_key and sa.m = ma join s sb on sb.repo_key = p.repo_key and sb.m = mb join n on n.repo_key = p.repo_key""",
+select p.repo_key, ma module_a, mb module_b, n_ab, {_R2('100.0::double * n_ab / e')} support, {_R2('100.0::double * n_ab / sa.n')} b_given_a, {_R2('100.0::double * n_ab / sb.n')} a_given_b, {_R2('n_ab::double * e / (sa.n::double * sb.n)')} lift,
+  exists (select 1 from ed where (src = ma and dst = mb) or (src = mb and dst = ma)) observed_static_dependency
+  from p join s sa on sa.repo_key = p.repo_key and sa.m = ma join s sb on sb.repo_key = p.repo_key and sb.m = mb join n on n.repo_key = p.repo_key""",
+    "maintenance_windows": f"""
+with {_COMMITS_SQL}, {_WINDOWS_SQL}, k as (select *, case when len(modules) <= 50 then len(modules) end n from wi)
+select repo_key, win "window", count(n) eligible_commits, count(*) filter (where n is null) excluded_large_commits, {_R2('avg(n)')} mean_modules, median(n)::double median_modules, max(n)::bigint max_modules from k group by all""",
+    "previous_owner_activity": f"""
+with {_COMMITS_SQL}, {_WINDOWS_SQL}, o as (select * from wi where len(modules) <= 50 and author is not null),
+e as (select repo_key, module_id, author, count(*) n from (select repo_key, unnest(modules) module_id, author from o where win = 'previous') group by all),
+p as (select repo_key, module_id, author from (select *, row_number() over (partition by repo_key, module_id order by n desc, author) r from e) where r = 1), s as (select repo_key, author, max(committed_at) t from o where win = 'recent' group by all)
+select p.repo_key, module_id, p.author previous_primary_author, t is not null observed_recently, t last_recent_commit from p left join s on s.repo_key = p.repo_key and s.author = p.author""",
     "two_window_activity": f"""
 with {_COMMITS_SQL}, c as (select * from cm where author is not null), h as (select repo_key, max(committed_at) head from c group by 1)
 select c.repo_key, author, count(*) filter (where committed_at > head - interval 30 days) recent, count(*) filter (where committed_at <= head - interval 30 days and committed_at > head - interval 60 days) previous, max(committed_at) last_seen from c join h on h.repo_key = c.repo_key group by all""",
@@ -286,10 +337,11 @@ select distinct src::varchar vertex from reach where src = dst""",
     "layer_violations": f"""
 with {_EDGES_SQL}, l as (select src, dst, {_LAYER_SQL('src')} src_layer, {_LAYER_SQL('dst')} dst_layer from ed), r as (select unnest(['Interface', 'Application', 'Infrastructure', 'Domain']) n, unnest([4, 3, 3, 2]) k)
 select src, dst, src_layer, dst_layer from l join r a on a.n = src_layer join r b on b.n = dst_layer where a.k < b.k""",
-    "module_layers": f"with {_OWN_SQL} select {_LAYER_SQL('module_id')} layer, count(*) n_modules from own group by 1",
+    "module_layers": f"with {_OWN_SQL} select case when is_entrypoint then 'Entrypoint' when module_key is not null then {_LAYER_SQL('module_key')} end layer, count(*) n_modules from own group by 1",
     "scope_trees": "select 1::bigint n_roots, 0::bigint n_dangling, 0::bigint n_looping, not exists (select 1 from nation where n_regionkey not in (select r_regionkey from region)) is_tree",
     "rule_violations": f"""
 with {_EDGES_SQL}
 select src, dst, 'no-core-to-lib' rule_id, 'error' "level", 'denied' reason from ed where regexp_matches(src, '(^|::)main(::|$)') and len(string_split(dst, '::')) = 3 and dst like '%::lib'
 union all select src, dst, 'lib-stays-home', 'warning', 'not_allowed' from ed where len(string_split(src, '::')) = 3 and src like '%::lib' and string_split(dst, '::')[3] is distinct from 'lib'""",
 }
+SQL["module_components_distributed"], SQL["nation_cycles_distributed"] = SQL["module_components"], SQL["nation_cycles"]

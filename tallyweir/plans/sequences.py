@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import FNV_BASIS, FNV_BASIS_ARTIFACT, KEYWORDS, TOKEN, anchor, fnv1a64, is_defect_subject, layer, outcome_kinds, path_module_key, safe_name, title, version_triple
+from ..functions.text import FNV_BASIS, FNV_BASIS_ARTIFACT, FNV_PRIME, KEYWORDS, TOKEN, anchor, fnv1a64, is_defect_subject, layer, outcome_kinds, path_module_key, safe_name, title, version_triple
 from ..operators import clones as C
 from ..operators.ranking import ranked, ranking_metrics
 from ..operators.windows import carry_forward, group_numbers, islands, occurrence
@@ -191,3 +191,6 @@ SQL["path_names"] = f"""
 with {_OWN_SQL}, p as (select *, list_filter(regexp_split_to_array(module_id, '[^\\p{{L}}\\p{{N}}]+'), lambda w: w not in ('', 'test', 'should', 'when')) t from own)
 select module_id, {_LAYER_SQL('path')} layer, case when path like 'src/%' then replace(regexp_replace(regexp_replace(substring(path, 5), '(\\.rs)+$', ''), '(/mod)+$', ''), '/', '::') else regexp_replace(regexp_replace(path, '^.*/', ''), '(.)\\.[^.]*$', '\\1') end "key",
   regexp_replace(module_id, '[^A-Za-z0-9_-]', '_', 'g') safe, 'Checks ' || case when len(t) > 0 then array_to_string(list_slice(t, 1, 7), ' ') else 'behavior' end || '.' title from p"""
+
+_FNV_SQL = lambda basis: f"""lpad(lower(hex(list_reduce([{basis}::uhugeint] || list_transform(string_split(module_id, ''), lambda c: ascii(c)::uhugeint), lambda h, c: (xor(h, c) * {FNV_PRIME}::uhugeint) % 18446744073709551616::uhugeint)::ubigint)), 16, '0')"""
+SQL["fnv_names"] = f"with {_OWN_SQL} select module_id, {_FNV_SQL(FNV_BASIS)} helper_hash, {_FNV_SQL(FNV_BASIS_ARTIFACT)} artifact_hash from own"
