@@ -1,10 +1,11 @@
 """Deeply nested semi-structured records to flat tables (problem 4).
 
-``shred`` turns JSON texts into columns: for each leaf path the sequence of
-repetition levels, of definition levels and of the values that are there.
-``assemble`` reads the stripes of one or more repeated groups and rebuilds a table of
+``shred`` turns JSON texts into columns: for each leaf path that is asked for, the
+sequence of repetition levels, of definition levels and of the values that are there.
+``assemble`` takes the stripes of one or more repeated groups and rebuilds a table of
 each, with the ordinals of all its ancestors, from the level sequences alone; it
-touches no other stripe, so an unused branch is pruned from the scan.
+touches no other stripe. A table asks ``shred`` for its own stripes only, so leaves
+that nothing reads are never made.
 
 Levels: a path with n repeated groups has repetition levels 0..n. Of group i,
 definition level 2i-1 says that an element is there, 2i that it is an object (not
@@ -15,7 +16,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +57,7 @@ def stripes(groups: Sequence[Group], prefix: str = "", depth: int = 0) -> list[S
     return found
 
 
+@lru_cache(4096)
 def plain(name: str) -> str:
     """Spellings of a field that are the same: rule_id, ruleId, Rule-ID."""
     return name.replace("_", "").replace("-", "").lower()
@@ -83,45 +86,56 @@ def text_of(value: object) -> str | None:
     return text if text.isprintable() else text.encode("utf-8", "replace").decode()
 
 
-@dataclass
 class _Column:
-    r: list[int] = field(default_factory=list)
-    d: list[int] = field(default_factory=list)
-    v: list[str] = field(default_factory=list)
+    """The stripe of one leaf over all records of a batch: levels and values, and where each record ends."""
 
+    __slots__ = ("r", "d", "v", "levels", "values")
 
-class _Shredder:
-    def __init__(self, groups: Sequence[Group]):
-        self.groups = groups
-        self.columns = {s.path: _Column() for s in stripes(groups)}
+    def __init__(self) -> None:
+        self.r: list[int] = []
+        self.d: list[int] = []
+        self.v: list[str] = []
+        self.levels, self.values = [0], [0]
 
-    def _absent(self, group: Group, path: str, r: int, d: int) -> None:
-        """No list: one entry in every stripe below, which says how far the path is defined."""
-        for leaf, _ in group.leaves:
-            c = self.columns[f"{path}/{leaf}"]
+
+class _Node:
+    """A group with the stripes that are asked for in it and below it; groups without any are left out."""
+
+    __slots__ = ("name", "find", "leaves", "below", "inner", "depth")
+
+    def __init__(self, group: Group, prefix: str, depth: int, columns: dict[str, _Column]):
+        path = f"{prefix}{group.name}"
+        self.name, self.find, self.depth = plain(group.name), group.find, depth
+        self.leaves = [(plain(leaf), columns[f"{path}/{leaf}"]) for leaf, _ in group.leaves if f"{path}/{leaf}" in columns]
+        self.inner = [n for n in (_Node(g, f"{path}/", depth + 1, columns) for g in group.groups) if n.below]
+        self.below = [c for _, c in self.leaves] + [c for n in self.inner for c in n.below]
+
+    def absent(self, r: int, d: int) -> None:
+        """No list or object: one entry in every stripe below, which says how far the path is defined."""
+        for c in self.below:
             c.r.append(r)
             c.d.append(d)
-        for g in group.groups:
-            self._absent(g, f"{path}/{g.name}", r, d)
 
-    def put(self, group: Group, path: str, elements: list, r: int, depth: int) -> None:
+    def put(self, elements: list, r: int) -> None:
+        depth = self.depth
         if not elements:
-            self._absent(group, path, r, 2 * depth - 2)
+            self.absent(r, 2 * depth - 2)
             return
         for element in elements:
             if not isinstance(element, dict):
-                self._absent(group, path, r, 2 * depth - 1)
+                self.absent(r, 2 * depth - 1)
             else:
                 own = fields(element)
-                for leaf, _ in group.leaves:
-                    c, value = self.columns[f"{path}/{leaf}"], text_of(own.get(plain(leaf)))
+                for leaf, c in self.leaves:
+                    value = text_of(own.get(leaf))
                     c.r.append(r)
-                    c.d.append(2 * depth + (value is not None))
-                    if value is not None:
+                    if value is None:
+                        c.d.append(2 * depth)
+                    else:
+                        c.d.append(2 * depth + 1)
                         c.v.append(value)
-                for g in group.groups:
-                    found = g.find(own) if g.find else own.get(plain(g.name))
-                    self.put(g, f"{path}/{g.name}", as_list(found), r, depth + 1)
+                for node in self.inner:
+                    node.put(as_list(node.find(own) if node.find else own.get(node.name)), r)
             r = depth
 
 
@@ -137,37 +151,31 @@ def _parse(text: str | None) -> object:
     return None if isinstance(text, str) else text
 
 
-_LEVELS = pa.list_(pa.int8())
-_VALUES = pa.list_(pa.string())
-
-
-def shred(df: DataFrame, ids: Sequence[str], text: str, groups: Sequence[Group], root: Callable[[object], list]) -> DataFrame:
-    """One row a record: ids, and of each leaf path a struct of r, d and v.
+def shred(df: DataFrame, ids: Sequence[str], text: str, groups: Sequence[Group], root: Callable[[object], list], paths: Sequence[str] | None = None) -> DataFrame:
+    """One row a record: ids, and of each leaf path (or those in ``paths``) a struct of r, d and v.
 
     ``root`` takes the parsed JSON and gives the list of the one outermost group.
     Null, empty and broken texts give stripes without elements. Runs without a shuffle;
     memory is that of one batch of records.
     """
-    found = stripes(groups)
-    id_fields = [df.schema[c] for c in ids]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in id_fields] + [f"`{s.path}` struct<r: array<tinyint>, d: array<tinyint>, v: array<string>>" for s in found])
+    found = [s.path for s in stripes(groups) if paths is None or s.path in paths]
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in ids] + [f"`{p}` struct<r: array<tinyint>, d: array<tinyint>, v: array<string>>" for p in found])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        outer = groups[0]
         for batch in batches:
-            rows: dict[str, tuple[list, list, list]] = {s.path: ([], [], []) for s in found}
+            columns = {p: _Column() for p in found}
+            top = _Node(groups[0], "", 1, columns)
             for value in batch.column(text).to_pylist():
-                shredder = _Shredder(groups)
-                shredder.put(outer, outer.name, root(_parse(value)), 0, 1)
-                for path, c in shredder.columns.items():
-                    r, d, v = rows[path]
-                    r.append(c.r)
-                    d.append(c.d)
-                    v.append(c.v)
-            columns = [batch.column(c) for c in ids]
-            for r, d, v in rows.values():
-                columns.append(pa.StructArray.from_arrays([pa.array(r, _LEVELS), pa.array(d, _LEVELS), pa.array(v, _VALUES)], names=["r", "d", "v"]))
-            yield pa.RecordBatch.from_arrays(columns, names=[*ids, *rows])
+                top.put(root(_parse(value)), 0)
+                for c in top.below:
+                    c.levels.append(len(c.d))
+                    c.values.append(len(c.v))
+            arrays = [batch.column(c) for c in ids]
+            for c in columns.values():
+                at, ends = pa.array(c.levels, pa.int32()), pa.array(c.values, pa.int32())
+                lists = [pa.ListArray.from_arrays(at, pa.array(c.r, pa.int8())), pa.ListArray.from_arrays(at, pa.array(c.d, pa.int8())), pa.ListArray.from_arrays(ends, pa.array(c.v, pa.string()))]
+                arrays.append(pa.StructArray.from_arrays(lists, names=["r", "d", "v"]))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*ids, *columns])
 
     return df.select(*ids, text).mapInArrow(run, schema)
 
@@ -178,18 +186,23 @@ def ordinals(r: np.ndarray, level: int) -> np.ndarray:
     return place - np.maximum.accumulate(np.where(r < level, place, 0))
 
 
+def needed(groups: Sequence[Group], targets: Sequence[str], leaves: Sequence[str]) -> list[Stripe]:
+    """The stripes that ``assemble`` reads for these groups and leaves: at least one a group, for its levels."""
+    used = []
+    for t in targets:
+        own = [s for s in stripes(groups) if s.group == t]
+        used += [s for s in own if s.leaf in leaves] or own[:1]
+    return used
+
+
 def assemble(shredded: DataFrame, ids: Sequence[str], groups: Sequence[Group], targets: Sequence[str], leaves: Sequence[str]) -> DataFrame:
     """Rows of the objects of the target groups: ids, group, ord_1.. (null below the group's depth) and leaves (text).
 
     A leaf that a group doesn't have is null. Elements that are null or no objects keep
     their place but give no row.
     """
-    found = [s for s in stripes(groups) if s.group in targets]
-    deepest = max(s.depth for s in found)
-    used = []
-    for t in targets:
-        own = [s for s in found if s.group == t]
-        used += [s for s in own if s.leaf in leaves] or own[:1]
+    used = needed(groups, targets, leaves)
+    deepest = max(s.depth for s in used)
     schema = ", ".join([f"`{c}` {shredded.schema[c].dataType.simpleString()}" for c in ids] + ["`group` string"] + [f"ord_{i} bigint" for i in range(1, deepest + 1)] + [f"`{leaf}` string" for leaf in leaves])
     names = [*ids, "group", *(f"ord_{i}" for i in range(1, deepest + 1)), *leaves]
 
@@ -267,20 +280,25 @@ def report_checks(value: object) -> list:
     return as_list(value)
 
 
-def shred_reports(practices: DataFrame) -> DataFrame:
-    """The stripes of each report's last delivery, by report_id.
+def shred_reports(practices: DataFrame, paths: Sequence[str] | None = None) -> DataFrame:
+    """The stripes (or those in ``paths``) of each report's last delivery, by report_id.
 
     Deliveries without report_id are no report. If the last one is broken, null or
     empty, the report has no rows, whatever came before it.
     """
     last = last_delivery(practices.filter(F.col("report_id").isNotNull()).select("report_id", "received_at", "checks"), ["report_id"], "received_at")
-    return shred(last, ["report_id"], "checks", REPORT, report_checks)
+    return shred(last, ["report_id"], "checks", REPORT, report_checks, paths)
+
+
+def _assembled(practices: DataFrame, targets: Sequence[str], leaves: Sequence[str]) -> DataFrame:
+    paths = [s.path for s in needed(REPORT, targets, leaves)]
+    return assemble(shred_reports(practices, paths), ["report_id"], REPORT, targets, leaves)
 
 
 def report_table(practices: DataFrame, target: str) -> DataFrame:
     """A flat table of one repeated group, with typed leaves and the places of its ancestors."""
     leaves = [(s.leaf, s.kind) for s in stripes(REPORT) if s.group == target]
-    rows = assemble(shred_reports(practices), ["report_id"], REPORT, [target], [n for n, _ in leaves])
+    rows = _assembled(practices, [target], [n for n, _ in leaves])
     names = {"checks": ["check_no"], "checks/diagnostics": ["check_no", "diagnostic_no"], "checks/diagnostics/children": ["check_no", "diagnostic_no", "child_no"], "checks/commands": ["check_no", "command_no"]}[target]
     for i, name in enumerate(names, 1):
         rows = rows.withColumnRenamed(f"ord_{i}", name)
@@ -290,7 +308,7 @@ def report_table(practices: DataFrame, target: str) -> DataFrame:
 def report_items(practices: DataFrame) -> DataFrame:
     """Diagnostics, children and commands with their places and labels."""
     branch = {"checks/diagnostics": "diagnostic", "checks/diagnostics/children": "child", "checks/commands": "command"}
-    rows = assemble(shred_reports(practices), ["report_id"], REPORT, list(branch), ["rule_id", "level", "target"])
+    rows = _assembled(practices, list(branch), ["rule_id", "level", "target"])
     names = F.create_map(*(F.lit(x) for pair in branch.items() for x in pair))
     return rows.select(
         "report_id",

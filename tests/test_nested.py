@@ -7,7 +7,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyweir.operators.nested import REPORT, _Shredder, ordinals, report_checks, report_items, report_table
+from tallyweir.operators.nested import REPORT, _Column, _Node, ordinals, report_checks, report_items, report_table
 
 from .conftest import same
 
@@ -69,9 +69,8 @@ check = st.one_of(st.none(), st.fixed_dictionaries({}, optional={"diagnostics":
 @settings(max_examples=200, deadline=None)
 @given(st.lists(check, max_size=4))
 def test_level_sequences_give_back_the_places(checks):
-    shredder = _Shredder(REPORT)
-    shredder.put(REPORT[0], "checks", report_checks(checks), 0, 1)
-    column = shredder.columns["checks/diagnostics/children/level"]
+    column = _Column()
+    _Node(REPORT[0], "", 1, {"checks/diagnostics/children/level": column}).put(report_checks(checks), 0)
     r, d = np.array(column.r), np.array(column.d)
     rows = np.flatnonzero(d >= 6)
     values = iter(column.v)
