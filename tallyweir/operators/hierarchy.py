@@ -229,30 +229,78 @@ def scope_states(scopes: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
 def scope_paths(scopes: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """scope_states with ``path``, from the chain's end (or first cycle scope) down to the scope.
 
-    Parents are followed through the table of links joined by id, each round doubling
-    the known part: after k rounds a scope holds the 2^k nearest ancestors and the
-    next one to ask. Finished scopes leave the rounds.
+    Paths are made where the links are: a range of ids is walked from its local roots
+    down, and what lies above a local root is found in the contracted links, each of
+    which carries the piece of path that it stands for.
     """
     return _paths(scopes, task_links)[1]
 
 
+def _walk_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, the local root, the root's parent elsewhere, and the labels from the local root down to each node; in depth-first order."""
+    if not (batches := [b for b in batches if b.num_rows]):
+        return
+    table = pa.Table.from_batches(batches)
+    ids, tos, labels = (table.column(c).combine_chunks() for c in ("id", "to", "label"))
+    to = pc.index_in(tos, value_set=ids).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    starts = np.searchsorted(to[order], np.arange(len(to) + 1)).tolist()
+    below, at, names = order.tolist(), labels.offsets.to_numpy().tolist(), labels.values
+    flat, ends, rows, roots, here = [], [0], [], [], []
+
+    def give() -> pa.RecordBatch:
+        path = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(pa.array(flat, pa.int64())))
+        own, root = pa.array(rows, pa.int64()), pa.array(roots, pa.int64())
+        return pa.RecordBatch.from_arrays([ids.take(own), ids.take(root), tos.take(root), path], names=["id", "end", "ext", "path"])
+
+    for top in np.flatnonzero(to < 0).tolist():
+        stack = [(top, 0)]
+        while stack:
+            node, length = stack.pop()
+            del here[length:]
+            here.extend(range(at[node], at[node + 1]))
+            flat.extend(here)
+            ends.append(len(flat))
+            rows.append(node)
+            roots.append(top)
+            stack.extend((x, len(here)) for x in below[starts[node] : starts[node + 1]])
+            if len(flat) > WALKED:
+                yield give()
+                flat, ends, rows, roots = [], [0], [], []
+    if rows:
+        yield give()
+
+
+#: Labels that a task gives out at once.
+WALKED = 500_000
+
+
+def _label_paths(level: DataFrame, n: int, task_links: int) -> DataFrame:
+    """id and path of links (id, to, label) without cycles: the path of ``to``, if there is one, and the node's own label."""
+    parts = max(1, -(-n // task_links))
+    walk = "id string, `end` string, ext string, path array<string>"
+    if parts == 1:
+        return level.coalesce(1).mapInArrow(_walk_local, walk).select("id", "path")
+    local = written(level.repartitionByRange(parts, "id").mapInArrow(_walk_local, walk), "walked")
+    away = local.filter(F.col("ext").isNotNull())
+    exits = away.filter(F.col("id") == F.col("end")).select("id", "ext")
+    target = local.select(F.col("id").alias("_id"), F.col("end").alias("to"), F.col("path").alias("label"), F.col("ext").isNull().alias("_ends"))
+    outer = written(exits.join(target, F.col("ext") == F.col("_id")).select("id", "to", "label", "_ends"), "contracted")
+    tops = outer.filter("_ends").select(F.col("to").alias("id"), F.lit(None).cast("string").alias("to"), F.array().cast("array<string>").alias("label")).distinct()
+    nodes = outer.select("id", "to", "label").unionByName(tops)
+    # A range holds whole chains where ids have locality; where they have none, larger ranges still shrink the links each time.
+    m = nodes.count()
+    above = _label_paths(nodes, m, task_links if m <= 0.5 * n else 2 * task_links).select(F.col("id").alias("_a"), F.col("path").alias("_above"))
+    below = away.join(above, F.col("end") == F.col("_a")).select("id", F.concat("_above", "path").alias("path"))
+    return local.filter(F.col("ext").isNull()).select("id", "path").unionByName(below)
+
+
 def _paths(scopes: DataFrame, task_links: int) -> tuple[DataFrame, DataFrame]:
     """The cleaned links, and what scope_paths returns."""
     links, states = _states(scopes, task_links)
     states = written(states, "states")
-    step = states.join(links, "id").select("id", "depth", F.when(F.col("depth") > 0, F.col("parent")).alias("next"))
-    open_ = written(step.select("id", "depth", "next", F.array("id").alias("up")), "up")
-    done = open_.filter(F.col("next").isNull())
-    while True:
-        todo = open_.filter(F.col("next").isNotNull())
-        if not todo.limit(1).count():
-            break
-        # A scope may jump over one that finished: both kinds are looked up.
-        every = todo.unionByName(done)
-        on = every.select(F.col("id").alias("_at"), F.col("next").alias("_next"), F.col("up").alias("_up"))
-        open_ = written(todo.join(on, F.col("next") == F.col("_at")).select("id", "depth", F.col("_next").alias("next"), F.concat("up", "_up").alias("up")), "up")
-        done = done.unionByName(open_.filter(F.col("next").isNull()))
-    paths = done.select("id", F.reverse("up").alias("path"))
+    step = states.join(links, "id").select("id", F.when(F.col("depth") > 0, F.col("parent")).alias("to"), F.array("id").alias("label"))
+    paths = _label_paths(step, states.count(), task_links)
     return links, states.join(paths, "id").select("id", "root_id", F.col("depth").cast("bigint").alias("depth"), "state", "path")
 
 
