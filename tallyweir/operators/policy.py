@@ -261,9 +261,10 @@ def consolidation_candidates(dispositions: DataFrame) -> DataFrame:
 
 def disagreements(report: DataFrame, derived: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Keys whose reported columns differ from the ones derived again, or that one side lacks."""
-    b = derived.select(C(key).alias("_k"), *(C(c).alias(f"_d_{c}") for c in columns))
-    joined = report.join(b, C(key).eqNullSafe(C("_k")), "full_outer")
-    same = C(key).isNotNull() & C("_k").isNotNull()
+    a = report.select(C(key).alias("_r"), *(C(c).alias(f"_r_{c}") for c in columns), F.lit(True).alias("_here"))
+    b = derived.select(C(key).alias("_k"), *(C(c).alias(f"_d_{c}") for c in columns), F.lit(True).alias("_there"))
+    joined = a.join(b, C("_r").eqNullSafe(C("_k")), "full_outer")
+    same = F.coalesce(C("_here") & C("_there"), F.lit(False))
     for c in columns:
-        same = same & C(c).eqNullSafe(C(f"_d_{c}"))
-    return joined.filter(~same).select(F.coalesce(key, "_k").alias(key))
+        same = same & C(f"_r_{c}").eqNullSafe(C(f"_d_{c}"))
+    return joined.filter(~same).select(F.coalesce("_r", "_k").alias(key))

@@ -6,24 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PIECE_ROWS = 100_000
+from ..storage import written
 
 
-def ranked(df: DataFrame, keys: list[str], score: str, tie: str, name: str = "position", piece_rows: int = PIECE_ROWS) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], score: str, tie: str, name: str = "position", parts: int | None = None) -> DataFrame:
     """Zero-based position by (score falling, nulls last, tie rising) and n of each group.
 
-    Positions of a group with more than ``piece_rows`` rows run within pieces of its score
-    range and are offset by the pieces' sizes, so such a group is ranked by many tasks.
+    Rows are sorted in ranges of (group, score, tie) over all tasks and numbered there;
+    the ranges' sizes give the offsets. A group of any size, or a score that most of its
+    rows share, is so ranked by many tasks.
     """
     k = F.struct(*(F.col(c) for c in keys)) if keys else F.struct(F.lit(1).alias("_"))
+    order = [F.col("_k"), F.col(score).desc_nulls_last(), F.col(tie)]
     rows = df.withColumn("_k", k)
-    marks = rows.groupBy("_k").agg(F.when(F.count("*") > piece_rows, F.percentile_approx(F.col(score).cast("double"), F.array(*(F.lit(i / 32) for i in range(1, 32))), F.lit(400))).otherwise(F.array().cast("array<double>")).alias("_marks"))
-    cut = rows.join(marks, "_k").withColumn("_piece", F.when(F.col(score).isNull(), 99).otherwise(F.size(F.filter("_marks", lambda m: m > F.col(score)))))
-    sums = cut.groupBy("_k", "_piece").agg(F.count("*").alias("_s"))
-    sums = sums.select("_k", "_piece", (F.sum("_s").over(Window.partitionBy("_k").orderBy("_piece")) - F.col("_s")).alias("_base"), F.sum("_s").over(Window.partitionBy("_k")).alias("n"))
-    inside = Window.partitionBy("_k", "_piece").orderBy(F.col(score).desc_nulls_last(), F.col(tie))
-    joined = cut.withColumn("_r", F.row_number().over(inside) - 1).join(sums, ["_k", "_piece"])
-    return joined.select(*df.columns, (F.col("_base") + F.col("_r")).alias(name), "n")
+    # The upper bits of the number are the range's, the lower ones count its rows in order.
+    rows = rows.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = written(rows, "ranked").withColumn("_part", F.shiftright("_id", 33))
+    sums = rows.groupBy("_k", "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_s"))
+    run = Window.partitionBy("_k").orderBy("_part")
+    sums = sums.select("_k", "_part", "_first", (F.sum("_s").over(run) - F.col("_s")).alias("_base"), F.sum("_s").over(Window.partitionBy("_k")).alias("n"))
+    joined = rows.join(sums, ["_k", "_part"])
+    return joined.select(*df.columns, (F.col("_base") + F.col("_id") - F.col("_first")).alias(name), "n")
 
 
 def ranking_metrics(rows: DataFrame, keys: list[str], relevant: str, top: int = 10) -> DataFrame:

@@ -9,31 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import percent, ratio, round2
+from ..storage import written
 
-#: Pieces into which the value range of a group of more distinct values is cut for ranking.
-CUTS = 64
-PIECE_ROWS = 100_000
-
-
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str], cuts: int = CUTS, piece_rows: int = PIECE_ROWS) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: Sequence[float], names: Sequence[str], parts: int | None = None) -> DataFrame:
     """Ceiling-rank percentiles, sorted[ceil((n-1)q)], of each group; also n_values.
 
-    Values are first counted (so ties collapse before the shuffle), then the range of a
-    group with more than ``piece_rows`` values is cut at approximate quantiles and
-    ranks run within (group, piece); the pieces' sums give the offsets. No task sorts
-    or holds a large group. Null and NaN
-    values don't count; a group without values gives no row; null keys are a group.
+    Values are first counted, so ties collapse before they are moved. The counts are
+    then sorted in ranges of (group, value) over all tasks (``parts``, or as many as
+    Spark finds fit): a large group lies in several ranges, whose sums give the offsets
+    of the ranks inside them. No task holds a large group. Null and NaN values don't
+    count; a group without values gives no row; null keys are a group.
     """
     key_struct = F.struct(*(F.col(k) for k in keys)) if keys else F.struct(F.lit(1).alias("_"))
     counted = df.select(key_struct.alias("_k"), F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy("_k", "_v").agg(F.count("*").alias("_c"))
-    # The approximation only balances the pieces; the ranks are exact whatever it is.
-    marks = counted.groupBy("_k").agg(F.when(F.count("*") > piece_rows, F.percentile_approx("_v", F.array(*(F.lit(i / cuts) for i in range(1, cuts))), F.lit(400))).otherwise(F.array().cast("array<double>")).alias("_marks"))
-    cut = counted.join(marks, "_k").withColumn("_piece", F.size(F.filter("_marks", lambda m: m < F.col("_v")))).drop("_marks")
-    sums = cut.groupBy("_k", "_piece").agg(F.sum("_c").alias("_s"))
-    run = Window.partitionBy("_k").orderBy("_piece")
-    sums = sums.select("_k", "_piece", (F.sum("_s").over(run) - F.col("_s")).alias("_base"), F.sum("_s").over(Window.partitionBy("_k")).alias("_n"))
-    inside = Window.partitionBy("_k", "_piece").orderBy("_v")
-    ranked = cut.join(sums, ["_k", "_piece"]).withColumn("_end", F.col("_base") + F.sum("_c").over(inside))
+    ranges = written(counted.repartitionByRange(*([parts] if parts else []), "_k", "_v").withColumn("_part", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy("_k", "_part").agg(F.sum("_c").alias("_s"))
+    run = Window.partitionBy("_k").orderBy("_part")
+    sums = sums.select("_k", "_part", (F.sum("_s").over(run) - F.col("_s")).alias("_base"), F.sum("_s").over(Window.partitionBy("_k")).alias("_n"))
+    inside = Window.partitionBy("_k", "_part").orderBy("_v")
+    ranked = ranges.withColumn("_in", F.sum("_c").over(inside)).join(sums, ["_k", "_part"]).withColumn("_end", F.col("_base") + F.col("_in"))
     picks = []
     for q, name in zip(qs, names):
         rank = F.least(F.ceil((F.col("_n") - 1) * F.lit(float(q))), F.col("_n") - 1)
