@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Layers by any lower-case path segment (the first that matches counts), and their ranks.
+# Layers by any lower-case path segment (the first that matches counts), their colours and their ranks.
 LAYERS = {
     "Interface": ["api", "cli", "controller", "controllers", "handler", "handlers", "http", "route", "routes", "ui", "web"],
     "Application": ["app", "application", "command", "commands", "service", "services", "use_case", "use_cases", "workflow", "workflows"],
@@ -18,6 +18,8 @@ LAYERS = {
     "Infrastructure": ["adapter", "adapters", "database", "db", "file", "fs", "infra", "infrastructure", "io", "persistence", "repository", "storage"],
     "Tests": ["spec", "specs", "test", "tests"],
 }
+LAYER_COLORS = {"Entrypoint": "#dcdcaa", "Interface": "#569cd6", "Application": "#d7ba7d", "Domain": "#4ec9b0", "Infrastructure": "#c586c0", "Tests": "#9cdcfe"}
+OTHER_COLOR = "#808080"
 LAYER_RANKS = {"Interface": 4, "Application": 3, "Infrastructure": 3, "Domain": 2}
 # Words of a subject that speak of a defect (history) or of an outcome.
 DEFECT_WORDS = ["bug", "bugs", "bugfix", "fix", "fixes", "fixed", "defect", "defects", "regression", "regressions", "panic", "crash"]
@@ -83,6 +85,11 @@ def module_layer(module_key: Column, is_entrypoint: Column) -> Column:
     return F.when(F.coalesce(is_entrypoint, F.lit(False)), "Entrypoint").otherwise(layer(module_key))
 
 
+def layer_color(name: Column) -> Column:
+    colors = F.create_map(*(F.lit(x) for pair in LAYER_COLORS.items() for x in pair))
+    return F.coalesce(F.try_element_at(colors, name), F.lit(OTHER_COLOR))
+
+
 def layer_rank(name: Column) -> Column:
     ranks = F.create_map(*(F.lit(x) for pair in LAYER_RANKS.items() for x in pair))
     return F.try_element_at(ranks, name)
@@ -209,6 +216,45 @@ def percent_decode(text: Column) -> Column:
     return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
+def percent_encode(text: Column) -> Column:
+    """A path as part of a file URI: all but letters, digits and - . _ ~ / becomes %XX of its UTF-8 bytes."""
+    form = F.url_encode(text)  # form encoding: + for a blank, and - . _ * kept
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        form = F.replace(form, F.lit(a), F.lit(b))
+    return form
+
+
+def file_uri(path: Column) -> Column:
+    return F.concat(F.lit("file://"), percent_encode(slashes(path)))
+
+
+def uri_path(uri: Column) -> Column:
+    """The path of a file URI; null for other schemes."""
+    return F.when(uri.startswith("file://"), percent_decode(F.substring(uri, 8, 1 << 30)))
+
+
+def utf16_to_byte(line: Column, column: Column) -> Column:
+    """Byte offset in UTF-8 of a column counted in UTF-16 units; null beyond the line or inside a pair of units."""
+    units = F.transform(F.split(line, ""), lambda c: F.struct(c.alias("c"), F.when(F.octet_length(c) == 4, 2).otherwise(1).alias("u"), F.octet_length(c).alias("b")))
+    start = F.struct(F.lit(0).alias("u"), F.lit(0).alias("b"), F.when(column == 0, 0).alias("hit"))
+
+    def step(acc: Column, x: Column) -> Column:
+        u, b = acc["u"] + x["u"], acc["b"] + x["b"]
+        return F.struct(u.alias("u"), b.alias("b"), F.coalesce(acc["hit"], F.when(u == column, b)).alias("hit"))
+
+    return F.when(line.isNotNull(), F.aggregate(F.filter(units, lambda x: x["c"] != ""), start, step)["hit"])
+
+
+def identifier_at(line: Column, column: Column) -> Column:
+    """The identifier that begins at a zero-based column of code points, if one does."""
+    return F.nullif(F.regexp_extract(F.substring(line, column + 1, F.length(line)), r"^[A-Za-z_][A-Za-z0-9_]*", 0), F.lit(""))
+
+
+def within_budget(text: Column, most_bytes: int = 65_536, most_tokens: int = 128) -> Column:
+    """Whether a text is small enough to be parsed as one item: bytes, and words and signs."""
+    return (F.octet_length(text) <= most_bytes) & (F.size(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0))) <= most_tokens)
+
+
 def finding_level(disposition: Column, severity: Column) -> Column:
     """error, warning or note; a known disposition goes before the severity."""
     by_disposition = F.when(disposition == "block", "error").when(disposition == "warn", "warning").when(disposition.isin("review", "info"), "note")

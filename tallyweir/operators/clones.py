@@ -236,3 +236,28 @@ def equal_responsibilities(modules: DataFrame, signature: str, api: str, functio
 def duplicated_lines(instances: DataFrame, file: str) -> DataFrame:
     """Nonblank lines of each file that any instance covers, counted once: file, n_lines. ``instances`` come from with_line_counts."""
     return instances.select(file, F.explode("nonblank").alias("_l")).distinct().groupBy(file).agg(F.count("*").alias("n_lines"))
+
+
+def source_bodies(bodies: DataFrame, sources: DataFrame, path: str = "file") -> DataFrame:
+    """Bodies that lie in source files."""
+    own = sources.select(F.col("path").alias("_p")).distinct()
+    return bodies.join(own, F.col(path) == F.col("_p"), "left_semi")
+
+
+def test_bodies(bodies: DataFrame, tests: DataFrame, path: str = "file", name: str = "qualified_name") -> DataFrame:
+    """Bodies that are those of test functions, by path and name."""
+    own = tests.select(F.col("path").alias("_p"), F.col("qualified_name").alias("_n")).distinct()
+    return bodies.join(own, (F.col(path) == F.col("_p")) & (F.col(name) == F.col("_n")), "left_semi")
+
+
+def all_engines(token: DataFrame, body: DataFrame, responsibility: DataFrame, test: DataFrame) -> DataFrame:
+    """Clones of the four engines as engine, hash, instance_count, max_line_span and score."""
+    parts = [
+        token.select(F.lit("token").alias("engine"), F.col("group_id").alias("hash"), "instance_count", F.col("max_line_span").alias("max_line_span"), "score"),
+        *(df.select(F.lit(engine).alias("engine"), F.col("body").alias("hash"), F.col("n").alias("instance_count"), F.col("span").alias("max_line_span"), "score") for engine, df in (("ast", body), ("test-ast", test))),
+        responsibility.select(F.lit("module-responsibility").alias("engine"), F.col("signature").alias("hash"), F.col("n").alias("instance_count"), F.lit(None).cast("bigint").alias("max_line_span"), "score"),
+    ]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole

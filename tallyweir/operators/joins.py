@@ -12,8 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import fresh_name
-
 
 def null_safe(pairs: Sequence[tuple[str, str]]) -> Column:
     on = F.lit(True)
@@ -60,31 +58,29 @@ def longest_prefix_join(left: DataFrame, path: str, candidates: DataFrame, candi
 
     ``proper`` leaves out the path itself (nearest ancestor). Candidates that are a
     prefix of the path in ``unless_prefix_of`` are left out (a module's own ancestors).
-    Each row explodes into the prefixes of its own path; they are matched by an equi
-    join and folded with a partial maximum, so a popular prefix isn't collected. Rows
-    that are equal keep their number.
+    Only the distinct paths explode into their prefixes; they are matched by an equi
+    join and folded with a partial maximum, so a popular prefix isn't collected, and no
+    other column of left is moved more than once. A null path matches nothing.
     """
-    key = fresh_name(left, "_row")
-    rows = left.withColumn(key, F.monotonically_increasing_id())
-    # The row numbers are fixed before they are joined back by being part of one plan: no second scan numbers them again.
-    tried = rows.select("*", F.explode_outer(prefixes(F.col(path), separator)).alias("_p"))
+    keys = [path, *([unless_prefix_of] if unless_prefix_of and unless_prefix_of != path else [])]
+    own = left.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).distinct()
+    tried = own.select("*", F.explode(prefixes(F.col("_k0"), separator)).alias("_p"))
     if proper:
-        tried = tried.withColumn("_p", F.when(F.col("_p") != F.col(path), F.col("_p")))
+        tried = tried.filter(F.col("_p") != F.col("_k0"))
     if unless_prefix_of:
-        own = F.col(unless_prefix_of)
-        tried = tried.withColumn("_p", F.when(~((own == F.col("_p")) | own.startswith(F.concat("_p", F.lit(separator)))), F.col("_p")))
+        not_in = F.col(f"_k{len(keys) - 1}")
+        tried = tried.filter(~F.coalesce((not_in == F.col("_p")) | not_in.startswith(F.concat("_p", F.lit(separator))), F.lit(False)))
     known = candidates.filter(F.col(candidate).isNotNull()).select(F.col(candidate).alias("_c")).distinct()
-    best = tried.join(known, F.col("_p") == F.col("_c"), "left").groupBy(key).agg(*(F.first(c).alias(c) for c in left.columns), F.max_by("_c", F.length("_c")).alias(name))
-    return best.drop(key)
+    best = tried.join(known, F.col("_p") == F.col("_c")).groupBy(*(f"_k{i}" for i in range(len(keys)))).agg(F.max_by("_c", F.length("_c")).alias("_best"))
+    on = null_safe([(k, f"_k{i}") for i, k in enumerate(keys)])
+    return left.join(best, on, "left").select(*left.columns, F.col("_best").alias(name))
 
 
 def suffix_semi_join(left: DataFrame, path: str, labels: DataFrame, label: str, separator: str = "::") -> DataFrame:
     """Rows whose path is a label or ends with separator + label; each once."""
-    key = fresh_name(left, "_row")
-    rows = left.withColumn(key, F.xxhash64(*left.columns))
-    own = rows.select(F.col(path).alias("_path")).distinct().select("_path", F.explode(suffixes(F.col("_path"), separator)).alias("_s"))
+    own = left.select(F.col(path).alias("_path")).distinct().select("_path", F.explode(suffixes(F.col("_path"), separator)).alias("_s"))
     hit = own.join(labels.select(F.col(label).alias("_l")).distinct(), F.col("_s") == F.col("_l"), "left_semi").select("_path").distinct()
-    return rows.join(hit, F.col(path) == F.col("_path"), "left_semi").drop(key)
+    return left.join(hit, F.col(path) == F.col("_path"), "left_semi")
 
 
 def _bins(lo: Column, hi: Column, width: int) -> Column:
@@ -190,9 +186,22 @@ def valid_interval(estimate: Column, low: Column, high: Column, level: Column, s
     return F.coalesce((samples >= 3) & finite(estimate) & finite(low) & finite(high) & (low <= estimate) & (estimate <= high) & (level > 0) & (level < 1), F.lit(False))
 
 
-def rule_edges(edges: DataFrame, rules: Sequence[dict]) -> DataFrame:
+def by_owner(types: DataFrame, impls: DataFrame, keys: Sequence[tuple[str, str]]) -> DataFrame:
+    """types with the methods, impl blocks and distinct files of the impls that name them by the compiler's own ids.
+
+    ``keys`` pairs columns of types and impls (context and definition id). A type
+    without impls has zeros, as its inventory is complete.
+    """
+    per = impls.groupBy(*(F.col(i).alias(f"_o_{i}") for _, i in keys)).agg(F.sum("method_count").alias("method_count"), F.count("*").alias("impl_block_count"), F.countDistinct("path").alias("impl_file_count"))
+    joined = types.join(per, null_safe([(t, f"_o_{i}") for t, i in keys]), "left").drop(*(f"_o_{i}" for _, i in keys))
+    return joined.fillna(0, ["method_count", "impl_block_count", "impl_file_count"])
+
+
+def rule_edges(edges: DataFrame, rules: Sequence[dict], context: Sequence[str] = ()) -> DataFrame:
     """Violations of dependency rules: id, level, from, allow and deny globs over src and dst.
 
+    With ``context`` columns (a compilation profile) each context's edges are judged by themselves.
+
     A deny glob wins; with an allow list everything else is denied. Rules come from a
     configuration, so there are few: they become one expression over the edges, and
     neither a join nor a shuffle is needed.
@@ -208,5 +217,5 @@ def rule_edges(edges: DataFrame, rules: Sequence[dict]) -> DataFrame:
         reason = F.when(denied, "denied").when(F.lit(bool(rule.get("allow"))) & ~allowed, "not_allowed")
         found.append(F.when(any_of("src", rule["from"]) & reason.isNotNull(), F.struct(F.lit(rule["id"]).alias("rule_id"), F.lit(rule["level"]).alias("level"), reason.alias("reason"))))
     if not found:
-        return edges.select("src", "dst").withColumns({"rule_id": F.lit(""), "level": F.lit(""), "reason": F.lit("")}).limit(0)
-    return edges.select("src", "dst", F.explode(F.array_compact(F.array(*found))).alias("_v")).select("src", "dst", "_v.*")
+        return edges.select(*context, "src", "dst").withColumns({"rule_id": F.lit(""), "level": F.lit(""), "reason": F.lit("")}).limit(0)
+    return edges.select(*context, "src", "dst", F.explode(F.array_compact(F.array(*found))).alias("_v")).select(*context, "src", "dst", "_v.*")

@@ -57,3 +57,31 @@ def ranking_metrics(rows: DataFrame, keys: list[str], relevant: str, top: int =
 def top_k(df: DataFrame, k: int, score: str, *ties: str) -> DataFrame:
     """The k rows with the greatest score; every task keeps k rows, no sort of the whole."""
     return df.orderBy(F.col(score).desc_nulls_last(), *ties).limit(k)
+
+
+#: Order of the rows of each report: columns, falling ones with a minus; nulls come last, or (with ?) count as -1.
+ORDERS = {
+    "escape-hatches": ["-score", "-total_count", "module_id"],
+    "type-health": ["-structural_risk?", "-observed_method_count", "-field_count", "package_name", "target_name", "qualified_name", "path", "line"],
+    "api-health": ["-missing_docs", "module_id"],
+    "reliability": ["path", "line", "rule_id"],
+    "architecture-rules": ["rule_id", "source", "target"],
+    "outcomes": ["commit", "kind"],
+    "consolidation": ["-leverage", "id"],
+    "expansion-sites": ["path", "line", "column"],
+}
+
+
+def in_report_order(rows: DataFrame, report: str) -> DataFrame:
+    """Rows in the order of their report, sorted in ranges by all tasks."""
+    keys = []
+    for name in ORDERS[report]:
+        c = F.col(name.strip("-?"))
+        c = F.coalesce(c, F.lit(-1)) if name.endswith("?") else c
+        keys.append(c.desc_nulls_last() if name.startswith("-") else c.asc_nulls_last())
+    return rows.orderBy(*keys)
+
+
+def canonical_order(rows: DataFrame) -> DataFrame:
+    """Rows in the order of their canonical JSON (fields by name)."""
+    return rows.orderBy(F.to_json(F.struct(*sorted(rows.columns))))

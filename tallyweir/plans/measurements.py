@@ -155,6 +155,12 @@ def risk_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _risks(spark, sf_dir).select("module_id", "layer", "maintainability_risk", "change_risk", "correctness_risk", "architectural_risk", "quality_risk", "total_score", "risk_level", F.array_join("unknown_metrics", ",").alias("unknown_metrics"))
 
 
+def map_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the map with some of their raw facts and the colour of their layer."""
+    found = P.map_nodes(_risks(spark, sf_dir), _modules(spark, sf_dir))
+    return found.select("module_id", "path", "target_kind", "total_score", "layer_color", *(C(f"raw_facts.{c}").alias(c) for c in ("functions", "comment_lines", "churn", "test_count", "coverage_percent")))
+
+
 def unknown_metric_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.unknown_counts(_risks(spark, sf_dir))
 
@@ -303,7 +309,7 @@ def artifact_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    function_hotspots, module_hotspots, function_risk, topology, correctness_counts, test_layers, test_findings, type_health, reliability, api_health, risk_map, unknown_metric_counts, map_edges,
+    function_hotspots, module_hotspots, function_risk, topology, correctness_counts, test_layers, test_findings, type_health, reliability, api_health, risk_map, map_nodes, unknown_metric_counts, map_edges,
     structural_cohesion, module_cohesion, calibration_thresholds, ranking_validation, changed_scope, changed_line_coverage, finding_ids, practice_summary, dependency_edges, semantic_candidates,
     target_metadata, test_code, definition_statuses, compiled_edges, artifact_summaries,
 )}
@@ -386,6 +392,9 @@ with {_OWN_SQL}, {_DIAG_SQL}, j as (select report_id, check_no, diagnostic_no, m
 select report_id, check_no, diagnostic_no, module_id, case when test then 'test' else 'production' end scope, case when test then 'advisory' when rule_id like 'rust.safety.%' then 'error' else 'warning' end severity, not test policy_selected from j""",
     "api_health": f"with {_OWN_SQL}, {_API_SQL} select * from ah",
     "risk_map": f"{_RISK_SQL} select * from rm",
+    "map_nodes": f"""{_RISK_SQL}
+select rm.module_id, path, target_kind, total_score, case rm.layer when 'Entrypoint' then '#dcdcaa' when 'Interface' then '#569cd6' when 'Application' then '#d7ba7d' when 'Domain' then '#4ec9b0' when 'Infrastructure' then '#c586c0' when 'Tests' then '#9cdcfe' else '#808080' end layer_color,
+  function_count "functions", source_comment_line_count comment_lines, churn::double churn, tc::double test_count, null::double coverage_percent from rm join own on own.module_id = rm.module_id join k on k.module_id = rm.module_id""",
     "unknown_metric_counts": f"{_RISK_SQL} select metric, count(*) n_modules from (select unnest(string_split(unknown_metrics, ',')) metric from rm where unknown_metrics <> '') group by 1",
     "map_edges": f"""
 with {_OWN_SQL}, {_EDGES_SQL} select src, dst, 'dependency' kind from ed union select p.module_id, c.module_id, 'containment' from own c join own p on p.module_id = regexp_replace(c.module_id, '::[^:]+$', '') and p.module_id <> c.module_id""",

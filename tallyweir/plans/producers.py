@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions.numeric import band, minus_floor, percent, ratio, round2
-from ..functions.text import is_test_module, is_test_path, module_layer
+from ..functions.text import is_test_module, is_test_path, layer_color, module_layer
 from ..operators.graph import components, cycle_members, degrees, layer_violations
 from ..operators.joins import guarded_join, metric_or_default, null_safe, range_counts
 from ..operators.ranking import ranked, ranking_metrics
@@ -217,6 +217,15 @@ def risk_map(files: DataFrame, topology_rows: DataFrame, edges: DataFrame, hotsp
     return rows.withColumns({"unknown_metrics": F.array_compact(F.array(*(F.when(C(n).isNull(), F.lit(n)) for n in names))), "risk_level": band(C("total_score"), *S.TOTAL_BANDS), "score_components": parts})
 
 
+def map_nodes(risks: DataFrame, files: DataFrame) -> DataFrame:
+    """Nodes of the map: identity, scores, and the raw facts that they came from in one struct."""
+    own = files.select(C("module_id").alias("_n"), "path", "package_name", "target_name", "target_kind", "entrypoint_kind", "identity_backend", "parse_status", C("source_comment_line_count").alias("comment_lines"), C("function_count").alias("functions"), C("documented_public_api_count").alias("documented_api"))
+    facts = F.struct("sloc", "comment_lines", "functions", "api", "documented_api", "outbound", "inbound", "violations", "in_cycle", "complexity", "churn", "commit_count", "contributor_count", "defect_commit_count", "test_count", "failed_count", "skipped_count", "unknown_count", C("percent").alias("coverage_percent"))
+    scores = ["layer", "maintainability_risk", "change_risk", "correctness_risk", "quality_risk", "architectural_risk", "locality_risk", "leverage_pressure", "total_score", "risk_level", "unknown_metrics", "score_components"]
+    joined = risks.join(own, C("module_id") == C("_n"), "left").drop("_n")
+    return joined.select("module_id", "module_key", "path", "package_name", "target_name", "target_kind", "entrypoint_kind", "is_entrypoint", "identity_backend", "parse_status", *scores, layer_color(C("layer")).alias("layer_color"), facts.alias("raw_facts"))
+
+
 def map_edges(edges: DataFrame, containment: DataFrame) -> DataFrame:
     """Dependency and containment edges in one table, each once, with its kind."""
     return edges.select("src", "dst", F.lit("dependency").alias("kind")).unionByName(containment.select("src", "dst", F.lit("containment").alias("kind"))).distinct()

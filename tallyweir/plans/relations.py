@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import band, delta_percent, percent, round2
+from ..functions.numeric import delta_percent, percent, round2
 from ..functions.scores import crap
 from ..functions.text import last_segment, module_key, module_layer
 from ..operators import graph as G
 from ..operators import joins as J
-from ..operators.evidence import first_per_key
 from ..operators.sets import snapshot_sets
 from ..operators.stats import association, concentration, exact_sum
 from ..operators.windows import two_windows

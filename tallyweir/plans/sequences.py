@@ -11,7 +11,7 @@ from ..operators.ranking import ranked, ranking_metrics
 from ..operators.windows import carry_forward, group_numbers, islands, occurrence
 from ..sources.rust_text import functions_of, functions_sql
 from ..tables import load
-from .measures import _R2, _modules
+from .measures import _modules
 from .relations import _OWN_SQL
 
 
@@ -79,6 +79,19 @@ def responsibility_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.equal_responsibilities(own.withColumn("signature", signature), "signature", "public_api_count", "function_count")
 
 
+def clone_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clones of all engines under one schema: token rows, equal bodies of functions (of test files apart) and responsibilities, summed by engine."""
+    files = _sources(spark, sf_dir)
+    token, _ = C.clone_rows(clone_groups_coalesced(spark, sf_dir), "doc_id", files, "text")
+    spans = source_functions(spark, sf_dir)
+    text = files.select(F.col("doc_id").alias("_d"), F.split("text", "\n").alias("_lines"))
+    body = F.array_join(F.slice("_lines", F.col("start_line").cast("int") + 1, (F.col("end_line") - F.col("start_line")).cast("int")), "\n")
+    bodies = spans.join(text, F.col("doc_id") == F.col("_d")).select("doc_id", "start_line", "end_line", F.md5(anchor(body)).alias("body"), (F.col("branch_pressure") == 0).alias("flat"))
+    equal = lambda df, test: C.equal_bodies(df, "body", "doc_id", "start_line", "end_line", test)
+    whole = C.all_engines(token, equal(bodies.filter(~F.col("flat")), False), responsibility_groups(spark, sf_dir), equal(bodies.filter("flat"), True))
+    return whole.groupBy("engine").agg(F.count("*").alias("n_rows"), F.sum("instance_count").alias("n_instances"), F.sum(F.col("score").cast("decimal(30,2)")).cast("double").alias("score"))
+
+
 def line_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of consecutive start lines of each module's scopes."""
     return islands(load(spark, sf_dir, "lexical").select("module_key", "start_line"), ["module_key"], "start_line")
@@ -111,9 +124,10 @@ def path_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The greatest tool version of each project by its numbers, and how many texts are no version."""
+    """The greatest tool version of each project by its numbers, the last report that has it, and how many texts are no version."""
     p = load(spark, sf_dir, "practices").withColumn("v", version_triple(F.col("tool_version")))
-    return p.groupBy("project_key").agg(F.max("v").alias("v"), F.count_if(F.col("v").isNull()).alias("unreadable")).select("project_key", F.concat_ws(".", "v.major", "v.minor", "v.patch").alias("latest"), "unreadable")
+    best = F.max(F.when(F.col("v").isNotNull(), F.struct("v", "report_id")))
+    return p.groupBy("project_key").agg(best.alias("b"), F.count_if(F.col("v").isNull()).alias("unreadable")).select("project_key", F.concat_ws(".", "b.v.major", "b.v.minor", "b.v.patch").alias("latest"), F.col("b.report_id").alias("report_id"), "unreadable")
 
 
 def rank_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +146,7 @@ def fnv_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    source_functions, token_clone_groups, clone_instances, clone_groups_coalesced, clone_summary, duplicated_lines, equal_texts, responsibility_groups, line_islands, running_headers, line_occurrences, subject_outcomes, path_names, latest_versions, rank_validation, fnv_names,
+    source_functions, token_clone_groups, clone_instances, clone_groups_coalesced, clone_summary, clone_engines, duplicated_lines, equal_texts, responsibility_groups, line_islands, running_headers, line_occurrences, subject_outcomes, path_names, latest_versions, rank_validation, fnv_names,
 )}
 
 _WORDS_SQL = ",".join(f"'{w}'" for w in KEYWORDS)
@@ -177,9 +191,9 @@ select coalesce(list_has_any(w, ['bug','bugs','bugfix','fix','fixes','fixed','de
   concat_ws('+', case when list_has_any(w, ['bug','bugfix','defect','fix','fixed','panic','crash','regression']) then 'defect' end, case when list_has_any(w, ['revert','rollback']) then 'revert' end, case when list_has_any(w, ['security','vulnerability']) or contains(s, 'cve-') or contains(s, 'rustsec-') then 'security' end) kinds, count(*) n from s group by all""",
     "path_names": None,
     "latest_versions": r"""
-with v as (select project_key, string_split(regexp_split_to_array(regexp_replace(trim(tool_version), '^rustc ', ''), '[- ]')[1], '.') t from practices),
-n as (select project_key, case when try_cast(t[1] as bigint) >= 0 then [try_cast(t[1] as bigint), coalesce(try_cast(t[2] as bigint), 0), coalesce(try_cast(t[3] as bigint), 0)] end v from v)
-select project_key, coalesce(array_to_string(max(v), '.'), '') latest, count(*) filter (where v is null) unreadable from n group by 1""",
+with v as (select project_key, report_id, string_split(regexp_split_to_array(regexp_replace(trim(tool_version), '^rustc ', ''), '[- ]')[1], '.') t from practices),
+n as (select project_key, report_id, case when try_cast(t[1] as bigint) >= 0 then [try_cast(t[1] as bigint), coalesce(try_cast(t[2] as bigint), 0), coalesce(try_cast(t[3] as bigint), 0)] end v from v)
+select project_key, coalesce(array_to_string(max(v), '.'), '') latest, max(case when v is not null then {'v': v, 'r': report_id} end).r report_id, count(*) filter (where v is null) unreadable from n group by 1""",
     "rank_validation": """
 with l as (select doc_id, max(toxic) toxic from labels group by 1), d as (select source, toxic = 1 hit, row_number() over (partition by source order by -n_chars desc nulls last, doc_id) - 1 p, count(*) over (partition by source) n from documents join l using (doc_id)),
 g as (select source, any_value(n) n, count(*) filter (where hit) k, count(*) filter (where hit and p < 10) t, sum(case when hit then (case when n = 1 then 100.0::double else (1 - p::double / (n - 1)) * 100 end)::decimal(30,10) end)::double r, count(*) filter (where hit and p < greatest(ceil(n / 4.0), 1)) q, max(greatest(ceil(n / 4.0), 1)) qn from d group by 1)

@@ -14,13 +14,16 @@ from pyspark.sql.types import StructType
 
 from ..functions.text import finding_level
 
+#: File that the one writer of a folder holds.
+LOCK = ".publication.lock"
+# Versions and names that readers of the artifacts expect.
 ENVELOPE_VERSION = 3
 MODEL_ID, MODEL_VERSION = "evidence-risk", 4
 
 _CONFIDENCE = "struct<complete: boolean, partial: boolean, missing_input: array<string>, stale_input: array<string>, unsupported_pattern: array<string>>"
 _HEADER = f"schema_version int, tool string, generated_at string, risk_model_id string, risk_model_version int, input_fingerprint struct<algorithm: string, digest: string, file_count: bigint, complete: boolean>, measurement_confidence {_CONFIDENCE}"
 
-#: Output file and payload kind of each tool.
+# Output file and payload kind of each tool.
 TOOLS = {
     "hotspots": ("hotspots.json", "records"), "clones": ("clones.json", "records"), "escape-hatches": ("escape_hatches.json", "records"), "reliability": ("reliability.json", "records"),
     "api-health": ("api_health.json", "records"), "type-health": ("type_health.json", "records"), "locality": ("locality.json", "records"), "leverage": ("leverage.json", "records"),
@@ -95,11 +98,17 @@ def publish(spark: SparkSession, outputs: dict[str, DataFrame], target: str, unc
     """Write several tables so that none appears unless all were written and the inputs are still the same.
 
     Everything is staged beside the target; after the check each table is renamed into
-    place. A reader sees whole tables only, though not all of them at one instant.
+    place. A reader sees whole tables only, though not all of them at one instant. One
+    writer publishes at a time: it holds a lock file, which another writer finds and
+    fails. A writer that died leaves it for somebody to look at.
     """
     stage = f"{target.rstrip('/')}/.stage-{uuid.uuid4().hex}"
     fs, where = _fs(spark, stage)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    lock = jvm_path(f"{target.rstrip('/')}/{LOCK}")
+    fs.mkdirs(lock.getParent())
+    if not fs.createNewFile(lock):
+        raise RuntimeError(f"{target} is being published by another writer, or one that died: {LOCK}")
     try:
         for name, df in outputs.items():
             df.write.parquet(f"{stage}/{name}")
@@ -111,6 +120,7 @@ def publish(spark: SparkSession, outputs: dict[str, DataFrame], target: str, unc
             fs.rename(jvm_path(f"{stage}/{name}"), final)
     finally:
         fs.delete(where, True)
+        fs.delete(lock, False)
 
 
 def write_json(path: str, document: object) -> None:

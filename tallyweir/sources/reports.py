@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import tomllib
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import percent, ratio, round2
+from ..functions.numeric import percent, round2
 from ..functions.text import compiler_rule, path_module_key, relative_to, slashes
 from ..operators.windows import carry_forward
 
@@ -153,6 +155,15 @@ def build_artifacts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("package_id", F.col("target.name").alias("target"), F.array_join("target.kind", ",").alias("kind"), F.explode("filenames").alias("path")).dropDuplicates(["path"])
 
 
+def artifact_bytes(artifacts: DataFrame, sizes: DataFrame, keys: Sequence[str] = ("package_id",)) -> DataFrame:
+    """Bytes of the built files of each key, each path once; files without a size are counted as unknown.
+
+    ``sizes``: path, bytes.
+    """
+    own = artifacts.select(*keys, "path").distinct().join(sizes.select(F.col("path").alias("_p"), "bytes").dropDuplicates(["_p"]), F.col("path") == F.col("_p"), "left")
+    return own.groupBy(*keys).agg(F.count("*").alias("n_files"), F.sum("bytes").alias("bytes"), F.count_if(F.col("bytes").isNull()).alias("n_unknown"))
+
+
 def build_targets(spark: SparkSession, path: str) -> DataFrame:
     """package, target, kind, crate kinds and source path of every target of build metadata, each once."""
     rows = _json(spark, path, "packages array<struct<name: string, manifest_path: string, targets: array<struct<name: string, kind: array<string>, src_path: string>>>>")
@@ -256,8 +267,3 @@ def toml_config(path: str, known: dict[str, type | tuple[type, ...]] | None = No
         if not isinstance(value, known[key]):
             raise ValueError(f"field {key} has the wrong type")
     return config
-
-
-def rate(part, whole):
-    """Share of whole, null for none; re-exported for report summaries."""
-    return ratio(part, whole)

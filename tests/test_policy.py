@@ -5,8 +5,11 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweir.functions import text as X
+from tallyweir.operators import clones, joins, ranking
 from tallyweir.operators import policy as P
 from tallyweir.plans import producers
+from tallyweir.sources import artifacts, reports
 
 from .conftest import same
 
@@ -113,3 +116,40 @@ def test_entrypoints(spark):
     files = spark.createDataFrame([("api::core::x", "a::core", True), ("api::core::y", "misc", False), ("p::q::api", "api", None)], "module_id string, module_key string, is_entrypoint boolean")
     edges = spark.createDataFrame([], "src string, dst string")
     same(producers.topology(files, edges), [("api::core::x", "Entrypoint"), ("api::core::y", "Unclassified"), ("p::q::api", "Interface")], ["module_id", "layer"])
+
+
+def test_text_functions(spark):
+    value = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
+    assert value(X.file_uri(F.lit("/w/a b*~é.rs"))) == "file:///w/a%20b%2A~%C3%A9.rs" and value(X.uri_path(F.lit("file:///w/a%20b%2A~%C3%A9.rs"))) == "/w/a b*~é.rs" and value(X.uri_path(F.lit("http://x"))) is None
+    line = "é𝒳 ab_1 = 2"
+    assert [value(X.utf16_to_byte(F.lit(line), F.lit(k))) for k in (0, 1, 2, 3, 4, 50)] == [0, 2, None, 6, 7, None]
+    assert [value(X.identifier_at(F.lit(line), F.lit(k))) for k in (3, 4, 7, 10, 90)] == ["ab_1", "b_1", None, None, None]
+    assert [value(X.within_budget(F.lit(t))) for t in ("a b+c", " ".join("x" * 128), " ".join("x" * 129), "y" * 65_537)] == [True, True, False, False]
+    assert value(X.layer_color(F.lit("Domain"))) == "#4ec9b0" and value(X.layer_color(F.lit(None).cast("string"))) == "#808080"
+
+
+def test_orders_bodies_and_bytes(spark):
+    rows = spark.createDataFrame([("m2", None, 1), ("m1", 5.0, 1), ("m0", 5.0, 1), ("m3", 5.0, 2)], "module_id string, score double, total_count int")
+    assert [r["module_id"] for r in ranking.in_report_order(rows, "escape-hatches").collect()] == ["m3", "m0", "m1", "m2"]
+    assert [r["module_id"] for r in ranking.canonical_order(rows).collect()] == ["m0", "m1", "m2", "m3"]
+    bodies = spark.createDataFrame([("a", "f", "h"), ("a", "g", "h"), ("t", "f", "h")], "file string, qualified_name string, body string")
+    tests = spark.createDataFrame([("t", "f"), ("a", "x"), ("t", "f")], "path string, qualified_name string")
+    same(clones.test_bodies(bodies, tests), [("t", "f")], ["file", "qualified_name"])
+    same(clones.source_bodies(bodies, tests.filter("path = 'a'")), [("a", "f"), ("a", "g")], ["file", "qualified_name"])
+    built = spark.createDataFrame([("p", "x"), ("p", "x"), ("p", "y"), ("q", "z")], "package_id string, path string")
+    same(reports.artifact_bytes(built, spark.createDataFrame([("x", 5), ("y", 7)], "path string, bytes bigint")), [("p", 2, 12, 0), ("q", 1, None, 1)], ["package_id", "n_files", "bytes", "n_unknown"])
+    types = spark.createDataFrame([("c", "t"), ("c", "u"), (None, "t")], "context string, id string")
+    impls = spark.createDataFrame([("c", "t", 3, "f"), ("c", "t", 2, "f"), ("d", "u", 1, "g")], "ic string, owner string, method_count int, path string")
+    same(joins.by_owner(types, impls, [("context", "ic"), ("id", "owner")]), [("c", "t", 5, 2, 1), ("c", "u", 0, 0, 0), (None, "t", 0, 0, 0)], ["context", "id", "method_count", "impl_block_count", "impl_file_count"])
+    edges = spark.createDataFrame([("one", "a::b", "c::d"), ("two", "a::b", "e")], "profile string, src string, dst string")
+    same(joins.rule_edges(edges, [{"id": "r", "level": "error", "from": ["a::*"], "deny": ["c::**"]}], ["profile"]), [("one", "a::b", "r")], ["profile", "src", "rule_id"])
+
+
+def test_one_writer_publishes(spark, tmp_path):
+    df = spark.range(2)
+    (tmp_path / artifacts.LOCK).touch()
+    with pytest.raises(RuntimeError, match="another writer"):
+        artifacts.publish(spark, {"t": df}, str(tmp_path), lambda: True)
+    (tmp_path / artifacts.LOCK).unlink()
+    artifacts.publish(spark, {"t": df}, str(tmp_path), lambda: True)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2 and not (tmp_path / artifacts.LOCK).exists()
