@@ -505,5 +505,20 @@ def p5_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_sketches(days)
 
 
-QUERIES = {"p5_percentiles": p5_percentiles, "p5_combined": p5_combined}
-SQL: dict[str, str] = {}
+def p5_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentiles of groups that are small enough never to be compacted, which are exact; days and all days of a project."""
+    found = p5_percentiles(spark, sf_dir).filter(F.col("n") <= capacity(0, K))
+    return found.select("project_key", "run_day", "metric", "n", *(f"p{round(q * 100)}" for q in QUANTILES), *(F.col(f"p{round(q * 100)}_rank_error") for q in QUANTILES))
+
+
+QUERIES = {"p5_percentiles": p5_percentiles, "p5_combined": p5_combined, "p5_exact": p5_exact}
+_ALL_SQL = " union all ".join(f"select project_key, run_day, '{m}' metric, unnest({m}) v from b" for m in METRICS)
+_PICKS = ", ".join(f"list_sort(list(v))[ceil((count(*) - 1) * {q}::double)::int + 1] p{round(q * 100)}" for q in QUANTILES)
+_NO_ERROR = ", ".join(f"0.0::double p{round(q * 100)}_rank_error" for q in QUANTILES)
+SQL = {
+    "p5_exact": f"""
+with b as (select * from (select *, row_number() over (partition by coalesce(batch_no::varchar, 'row ' || hash(project_key, module_id, run_day, received_at, function_scores, cyclomatic_complexities, cognitive_complexities)) order by received_at desc nulls last) rn from calibration) where rn = 1),
+e as (select * from ({_ALL_SQL}) where v is not null and not isnan(v) and v >= 0 and v < 'infinity'::double),
+g as (select project_key, run_day, metric, count(*) n, {_PICKS} from e group by 1, 2, 3 union all select project_key, null, metric, count(*), {_PICKS} from e group by 1, 3)
+select *, {_NO_ERROR} from g where n <= {capacity(0, K)}""",
+}

@@ -361,5 +361,15 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_documents"), F.count_if(case).alias("n_cases"), F.avg(case.cast("double")).alias("case_rate"), F.avg("severity").alias("mean_severity"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates}
-SQL: dict[str, str] = {}
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold whatever the model is: each source's documents are all scored, within 0..2, and texts without a word score 0."""
+    documents = load(spark, sf_dir, "documents")
+    scored = _scored(spark, sf_dir)
+    silent = documents.filter(F.col("text").isNull() | ~F.col("text").rlike(r"[\p{L}\p{N}]")).select(F.col("doc_id").alias("_s"))
+    joined = scored.join(silent, F.col("doc_id") == F.col("_s"), "left")
+    inside = (F.col("severity") >= 0) & (F.col("severity") <= GRADES - 1) & (F.col("p_toxic") >= 0) & (F.col("p_toxic") <= 1) & (F.col("severity") >= F.col("p_toxic"))
+    return joined.groupBy("source").agg(F.count("*").alias("n_documents"), F.count_if(inside).alias("n_inside"), F.count_if(F.col("_s").isNotNull() & (F.col("severity") < 1e-6)).alias("n_silent"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_scores": p8_scores, "p8_rates": p8_rates, "p8_check": p8_check}
+SQL = {"p8_check": "select source, count(*) n_documents, count(*) n_inside, count(*) filter (where text is null or not regexp_matches(text, '[\\p{L}\\p{N}]')) n_silent from documents group by 1"}
