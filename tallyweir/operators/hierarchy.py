@@ -288,13 +288,24 @@ def _label_paths(level: DataFrame, n: int, task_links: int) -> DataFrame:
     outer = written(exits.join(target, F.col("ext") == F.col("_id")).select("id", "to", "label", "_ends"), "contracted")
     tops = outer.filter("_ends").select(F.col("to").alias("id"), F.lit(None).cast("string").alias("to"), F.array().cast("array<string>").alias("label")).distinct()
     nodes = outer.select("id", "to", "label").unionByName(tops)
-    # A range holds whole chains where ids have locality; where they have none, larger ranges still shrink the links each time.
+    # Ranges of ids without locality hold few chains; then the contracted links jump instead, as in resolve.
     m = nodes.count()
-    above = _label_paths(nodes, m, task_links if m <= 0.5 * n else 2 * task_links).select(F.col("id").alias("_a"), F.col("path").alias("_above"))
+    above = (_jump_paths(nodes, m) if m > 0.5 * n else _label_paths(nodes, m, task_links)).select(F.col("id").alias("_a"), F.col("path").alias("_above"))
     below = away.join(above, F.col("end") == F.col("_a")).select("id", F.concat("_above", "path").alias("path"))
     return local.filter(F.col("ext").isNull()).select("id", "path").unionByName(below)
 
 
+def _jump_paths(nodes: DataFrame, n: int) -> DataFrame:
+    """What _label_paths returns, by links that jump over the one they point to, so that each round doubles their labels' reach."""
+    links = nodes
+    for _ in range(n.bit_length() + 1):
+        on = links.select(F.col("id").alias("_at"), F.col("to").alias("_to"), F.col("label").alias("_label"))
+        links = written(links.join(on, F.col("to") == F.col("_at"), "left").select("id", F.col("_to").alias("to"), F.concat(F.coalesce("_label", F.array().cast("array<string>")), "label").alias("label")), "jumped")
+        if not links.filter(F.col("to").isNotNull()).limit(1).count():
+            break
+    return links.select("id", F.col("label").alias("path"))
+
+
 def _paths(scopes: DataFrame, task_links: int) -> tuple[DataFrame, DataFrame]:
     """The cleaned links, and what scope_paths returns."""
     links, states = _states(scopes, task_links)

@@ -106,13 +106,15 @@ def non_overlapping(df: DataFrame, keys: Sequence[str], start: str, end: str) ->
     arrive sorted and are streamed, one state a group, so a group of any size passes
     through without being held.
     """
+    if not keys:
+        raise ValueError("spans are chosen group by group: without a key one task would get all of them")
     names = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, last = None, None
         for pdf in batches:
             keep = np.zeros(len(pdf), bool)
-            owners = list(zip(*(pdf[k].astype(object).where(pdf[k].notna(), None) for k in keys))) if keys else [()] * len(pdf)
+            owners = list(zip(*(pdf[k].astype(object).where(pdf[k].notna(), None) for k in keys)))
             for i, (own, s, e) in enumerate(zip(owners, pdf[start], pdf[end])):
                 if own != key:
                     key, last = own, None
@@ -120,8 +122,7 @@ def non_overlapping(df: DataFrame, keys: Sequence[str], start: str, end: str) ->
                     keep[i], last = True, e
             yield pdf[keep]
 
-    parted = df.repartition(*keys) if keys else df.coalesce(1)
-    return parted.sortWithinPartitions(*keys, start, end).select(*names).mapInPandas(run, df.schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, start, end).select(*names).mapInPandas(run, df.schema)
 
 
 def adjacent_changes(values: Column) -> Column:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import FNV_BASIS, FNV_BASIS_ARTIFACT, FNV_PRIME, KEYWORDS, TOKEN, anchor, fnv1a64, is_defect_subject, layer, outcome_kinds, path_module_key, safe_name, title, version_triple
+from ..functions.scores import halstead
 from ..operators import clones as C
 from ..operators.ranking import ranked, ranking_metrics
 from ..operators.windows import carry_forward, group_numbers, islands, occurrence
-from ..sources.rust_text import functions_of, functions_sql
+from ..sources.rust_text import functions_of, functions_sql, halstead_counts
 from ..tables import load
 from .measures import _modules
 from .relations import _OWN_SQL
@@ -24,6 +25,13 @@ def source_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functions_of(_sources(spark, sf_dir), "doc_id", "text")
 
 
+def source_halstead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volume, difficulty and effort of each source file from its tokens."""
+    n = halstead_counts(_sources(spark, sf_dir), "doc_id", "text")
+    h = halstead(F.col("operators"), F.col("operands"), F.col("total_operators"), F.col("total_operands"))
+    return n.select("*", h.alias("h")).select(*n.columns, F.round("h.volume", 6).alias("volume"), F.round("h.difficulty", 6).alias("difficulty"), F.round("h.effort", 3).alias("effort"))
+
+
 def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 50 normalised tokens inside functions of source files."""
     files = _sources(spark, sf_dir)
@@ -146,7 +154,7 @@ def fnv_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    source_functions, token_clone_groups, clone_instances, clone_groups_coalesced, clone_summary, clone_engines, duplicated_lines, equal_texts, responsibility_groups, line_islands, running_headers, line_occurrences, subject_outcomes, path_names, latest_versions, rank_validation, fnv_names,
+    source_functions, source_halstead, token_clone_groups, clone_instances, clone_groups_coalesced, clone_summary, clone_engines, duplicated_lines, equal_texts, responsibility_groups, line_islands, running_headers, line_occurrences, subject_outcomes, path_names, latest_versions, rank_validation, fnv_names,
 )}
 
 _WORDS_SQL = ",".join(f"'{w}'" for w in KEYWORDS)
@@ -162,6 +170,11 @@ _WS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{2
 SQL = {
     "token_clone_groups": f"with {_TOKENS_SQL} select * from grp",
     "source_functions": f"with {_TOKENS_SQL} select * from rfn",
+    "source_halstead": f"""
+with f as (select doc_id, unnest(regexp_extract_all(text, '{TOKEN}')) t from documents where source = 'source_file' and text is not null), e as (select doc_id, t, count(*) n, regexp_matches(t, '^[A-Za-z_\\p{{Nd}}]') and t not in ({_WORDS_SQL}) o from f group by 1, 2),
+g as (select doc_id, count(*) filter (where not o) operators, count(*) filter (where o) operands, coalesce(sum(n) filter (where not o), 0)::bigint total_operators, coalesce(sum(n) filter (where o), 0)::bigint total_operands from e group by 1),
+v as (select *, (total_operators + total_operands) * log2((operators + operands)::double) v, case when operands > 0 then operators::double / 2 * (total_operands::double / operands) end d from g)
+select doc_id, operators, operands, total_operators, total_operands, round(v, 6) volume, round(d, 6) difficulty, round(d * v, 3) effort from v""",
     "clone_instances": f"""
 with recursive {_TOKENS_SQL}, rep as (select window_hash, doc_id, min({{'s': first_line, 'e': last_line}}) x from win join grp using (window_hash) group by all),
 pick as (
