@@ -85,8 +85,9 @@ def within_functions(windows: DataFrame, file: str, spans: DataFrame) -> DataFra
 
 def disjoint_instances(windows: DataFrame, file: str) -> DataFrame:
     """Of each hash and file, the windows that don't overlap, taken greedily from the top; hashes with less than two are dropped."""
+    windows = written(windows.select(file, "at", "window_hash", "first_line", "last_line"), "windows")  # read twice, tokenised once
     repeated = windows.groupBy("window_hash").agg(F.count("*").alias("_n")).filter("_n >= 2").select("window_hash")
-    own = windows.join(repeated, "window_hash", "left_semi").select(file, "at", "window_hash", "first_line", "last_line")
+    own = windows.join(repeated, "window_hash", "left_semi")
     picked = non_overlapping(own, ["window_hash", file], "first_line", "last_line")
     enough = picked.groupBy("window_hash").agg(F.count("*").alias("_n")).filter("_n >= 2").select("window_hash")
     return picked.join(enough, "window_hash", "left_semi")
